@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 #: Fixed patterns of the query contracts.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ITEM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+CASED_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Upper-case characters other than A-Z.
+OTHER_UPPER = r"[[\p{IsUppercase}\p{Lt}]&&[^A-Z]]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Text bytes handled at once inside a Python worker.
@@ -59,8 +63,29 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
+def held(df: DataFrame, **cols: Column) -> DataFrame:
+    """df with columns that are computed once a row. Catalyst inlines a projected expression wherever it is used, even inside a lambda; a generator of one row stops that."""
+    one = F.explode(F.array(F.struct(*(c.alias(n) for n, c in cols.items()))))
+    return df.select("*", one.alias("__held")).select(*df.columns, *(F.col(f"__held.{n}").alias(n) for n in cols))
+
+
 def ascii_lower(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+    """A-Z lower-cased, nothing else. lower() is much faster and does the same unless another upper-case letter is there."""
+    return F.when(c.rlike(OTHER_UPPER), F.translate(c, UPPER, LOWER)).otherwise(F.lower(c))
+
+
+def item_words(text: Column) -> Column:
+    """The ITEM_WORD words of a text, lower-cased, found by splitting at the other characters; the first and last element may be empty.
+
+    Splitting is several times faster than extracting. The empty elements are no words: they match no term.
+    """
+    return F.split(ascii_lower(F.coalesce(text, F.lit(""))), ITEM_GAP, -1)
+
+
+def item_word_count(text: Column) -> Column:
+    """The number of words of item_words(), without lower-casing: A-Z are no gap here."""
+    parts = F.split(F.coalesce(text, F.lit("")), CASED_GAP, -1)
+    return F.aggregate(F.array(F.get(parts, F.lit(0)), F.get(parts, F.size(parts) - 1)), F.size(parts), lambda n, x: n - F.when(x == "", 1).otherwise(0)) + F.when((F.size(parts) == 1) & (parts[0] == ""), 1).otherwise(0)
 
 
 def text_hash(c: Column) -> Column:

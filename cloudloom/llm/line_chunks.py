@@ -13,10 +13,10 @@ they count as one document. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, staged, table, text_hash
+from .common import held, small, staged, table, text_hash
 from .decontaminate import NULL_ID
 
 #: First hex digits of the rolling hash that end a chunk: one line in four on average.
@@ -24,19 +24,20 @@ ENDS = ("0", "1", "2", "3")
 MIN_LINES = 2
 
 
-def chunk_starts(lines: Column) -> Column:
-    """0-based first lines of the chunks."""
-    hashes = F.transform(lines, lambda x: F.md5(x))
-    ends = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == 1) | F.substring(F.md5(F.concat(F.get(hashes, F.greatest(i - 3, F.lit(0))), F.get(hashes, i - 2))), 1, 1).isin(*ENDS))
-    return F.transform(ends, lambda i: i - 1)
+def with_chunks(df: DataFrame) -> DataFrame:
+    """df (text) with lines and starts, the 0-based first lines of the chunks."""
+    df = held(df, lines=F.split("text", "\n", -1))
+    df = held(df, hashes=F.transform("lines", lambda x: F.md5(x)))
+    rolling = lambda i: F.md5(F.concat(F.get("hashes", F.greatest(i - 2, F.lit(0))), F.get("hashes", i - 1)))
+    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | F.substring(rolling(i), 1, 1).isin(*ENDS))
+    return held(df, starts=starts).drop("hashes")
 
 
 def chunks(docs: DataFrame) -> DataFrame:
     """did, th, chunk (number in the document), n_lines, body, ch (its hash)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), text_hash(text).alias("th"), F.split(text, "\n", -1).alias("lines"))
-    d = d.withColumn("starts", chunk_starts(F.col("lines")))
-    d = d.select("did", "th", "lines", "starts", F.posexplode("starts").alias("chunk", "start"))
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), text_hash(text).alias("th"), text.alias("text"))
+    d = with_chunks(d).select("did", "th", "lines", "starts", F.posexplode("starts").alias("chunk", "start"))
     end = F.coalesce(F.get("starts", F.col("chunk") + 1), F.size("lines"))
     d = d.select("did", "th", "chunk", (end - F.col("start")).alias("n_lines"), F.concat_ws("\n", F.slice("lines", F.col("start") + 1, end - F.col("start"))).alias("body"))
     return d.withColumn("ch", F.xxhash64("body"))
@@ -58,7 +59,7 @@ def kept(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     gone = staged(gone, "removed-chunks")
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), text_hash(text).alias("th"), text.alias("text"))
-    d = d.join(small(gone), ["did", "th"], "left").withColumn("lines", F.split("text", "\n", -1)).withColumn("starts", chunk_starts(F.col("lines")))
+    d = with_chunks(d).join(small(gone), ["did", "th"], "left")
     spans = F.transform(F.col("starts"), lambda s, i: F.struct(i.alias("i"), s.alias("s"), (F.coalesce(F.get("starts", i + 1), F.size("lines")) - s).alias("n")))
     body = F.flatten(F.transform(F.filter(spans, lambda x: ~F.array_contains("gone", x["i"])), lambda x: F.slice("lines", x["s"] + 1, x["n"])))
     return d.select(
