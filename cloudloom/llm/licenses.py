@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ITEM_WORD, ascii_lower, small, staged, table
+from .common import held, item_words, small, staged, table
 
 #: The customary statements by which texts name their licence.
 TEMPLATES = {
@@ -47,7 +47,7 @@ def term_weights(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> tup
     """The inverse document frequency of each template term, and that of an unseen term, over all files."""
     vocabulary = sorted({w for t in template_terms(templates).values() for w in t})
     terms = F.array(*map(F.lit, vocabulary))
-    words = F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(ITEM_WORD), F.lit(0))
+    words = item_words(F.col("text"))
     n = files.count()
     df = dict(files.select(F.explode(F.array_intersect(words, terms)).alias("t")).groupBy("t").agg(F.count("*")).collect())  # one row a template term
     weight = lambda k: math.log((1 + n) / (1 + k)) + 1
@@ -59,22 +59,24 @@ def matches(files: DataFrame, weights: dict[str, float], unseen: float, template
     text = F.coalesce("text", F.lit(""))
     whole = F.when(F.coalesce(F.col("path"), F.lit("")).rlike(LICENSE_FILE), F.array(text)).otherwise(F.array().cast("array<string>"))
     units = files.select("fid", F.explode(F.concat(F.split(text, "\n", -1), whole)).alias("unit"))
-    units = units.withColumn("words", F.regexp_extract_all(ascii_lower(F.col("unit")), F.lit(ITEM_WORD), F.lit(0))).filter(F.size("words") > 0).drop("unit")
-    idf = F.create_map(*(x for w, v in weights.items() for x in (F.lit(w), F.lit(v))))
-    known = F.filter(F.col("words"), lambda w: w.isin(*weights))
-    units = units.withColumn("known", known)
-    # k known words weigh at most (k * unseen) ** 2, the others at least unseen ** 2 each: a cheap bound of the cosine
+    units = held(units, words=item_words(F.col("unit"))).drop("unit")
+    units = held(units, n=F.size("words"), known=F.filter(F.col("words"), lambda w: w.isin(*weights)))
+    # terms of every second file and more weigh little; `rare` ones may weigh as much as a word that no file has
+    light = sorted(w for w in weights if weights[w] < unseen / 4)
+    most_light = max((weights[w] for w in light), default=0.0)
+    units = held(units, rare=F.size(F.filter(F.col("known"), lambda w: ~w.isin(*light))) if light else F.size("known"))
+    # cheap bound of the cosine: known words weigh at most so much together, each other word at least `unseen`
     bound = threshold**2 / (1 - threshold**2)
-    units = units.filter(F.size("known") * F.size("known") >= bound * (F.size("words") - F.size("known")))
+    together = F.col("rare") * unseen + (F.size("known") - F.col("rare")) * most_light
+    units = units.filter(together * together >= bound * (F.col("n") - F.size("known") - 2) * unseen**2)
     # squared norms count each word's term frequency: sums over distinct words of (tf * weight) ** 2
-    units = units.withColumn("set", F.array_distinct("known"))
+    units = held(units, other=F.filter(F.col("words"), lambda w: (w != "") & ~w.isin(*weights)), set=F.array_distinct("known")).filter(F.size("set") > 0)
+    idf = F.create_map(*(x for w, v in weights.items() for x in (F.lit(w), F.lit(v))))
     tf = lambda w: F.size(F.filter(F.col("known"), lambda x: x == w))
-    known_sq = F.aggregate("set", F.lit(0.0), lambda a, w: a + F.pow(tf(w) * idf[w], 2))
-    other = F.filter(F.col("words"), lambda w: ~w.isin(*weights))
-    other_sq = F.aggregate(F.array_distinct(other), F.lit(0.0), lambda a, w: a + F.pow(F.size(F.filter(other, lambda x: x == w)) * unseen, 2))
-    # a lower bound of the other words' share (each at least once) stops most units before the exact norm
-    units = units.withColumn("known_sq", known_sq).filter(F.col("known_sq") >= threshold**2 * (F.col("known_sq") + (F.size("words") - F.size("known")) * unseen**2))
-    units = units.withColumn("norm", F.sqrt(F.col("known_sq") + other_sq))
+    units = held(units, known_sq=F.aggregate("set", F.lit(0.0), lambda a, w: a + F.pow(tf(w) * idf[w], 2)))
+    units = units.filter(F.col("known_sq") >= bound * F.size("other") * unseen**2)
+    other_sq = F.aggregate(F.array_distinct("other"), F.lit(0.0), lambda a, w: a + F.pow(F.size(F.filter(F.col("other"), lambda x: x == w)) * unseen, 2))
+    units = held(units, norm=F.sqrt(F.col("known_sq") + other_sq))
     scored = []
     for name, terms in template_terms(templates).items():
         length = math.sqrt(sum((k * weights[w]) ** 2 for w, k in terms.items()))
