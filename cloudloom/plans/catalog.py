@@ -1,10 +1,8 @@
-"""All queries of the engine and their SQL, by name."""
+"""All queries of the engine and their SQL, by name. Importing the plan modules registers them."""
 
-from __future__ import annotations
+from . import files, images, index, neighbours, points, shapes  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
+FLAGSHIP = "A11_voxel_average"
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
