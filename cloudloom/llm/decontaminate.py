@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ITEM_WORD, ascii_lower, small, staged, table, text_hash
+from .common import item_word_count, item_words, small, staged, table, text_hash
 
 WINDOW_WORDS = 8
 #: Items from which a document counts as contaminated.
@@ -27,28 +27,30 @@ MIN_ITEMS = 2
 NULL_ID = -(1 << 63)
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(ITEM_WORD), F.lit(0))
-
-
 def tokens(docs: DataFrame) -> DataFrame:
     """did, th (a row's key: doc_id and text hash) and words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), text_hash(text).alias("th"), words_of(text).alias("words"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), text_hash(text).alias("th"), item_words(text).alias("words"))
 
 
 def windows(items: DataFrame, size: int = WINDOW_WORDS) -> tuple[DataFrame, DataFrame]:
     """(win, terms): the distinct windows; (win, item_id): the items that have them."""
-    w = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    w = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.filter(item_words(F.col("text")), lambda w: w != "").alias("words")).filter(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
     w = staged(w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, size))).alias("terms")), "windows")
     distinct = staged(w.select("terms").distinct().withColumn("win", F.monotonically_increasing_id()), "distinct-windows")
     return distinct, w.join(distinct, "terms").select("win", "item_id").distinct()
 
 
+def known(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """tokens (token and more) that are one of the terms (term and more). The join is by hash, which is much cheaper than by text; the texts are compared after it."""
+    t = small(staged(terms.withColumn("term_hash", F.xxhash64("term")), "hashed-terms"))
+    return tokens.join(t, F.xxhash64("token") == F.col("term_hash")).filter(F.startswith("token", "term") & F.startswith("term", "token")).drop("term_hash")
+
+
 def term_counts(toks: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n: how often each of the terms stands in the training text."""
-    return toks.select(F.explode("words").alias("term")).join(small(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    return known(toks.select(F.explode("words").alias("token")), terms).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def ranked_terms(wins: DataFrame, counts: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def ranked_terms(wins: DataFrame, counts: DataFrame) -> DataFrame:
 
 def postings(toks: DataFrame, chosen: DataFrame, reach: int = WINDOW_WORDS - 1) -> DataFrame:
     """term, did, th, at (0-based), base, around: the index. chosen: term, is_lead. Leads keep words [base, at + reach]."""
-    p = toks.select("did", "th", "words", F.posexplode("words").alias("at", "term")).join(small(chosen), "term")
+    p = known(toks.select("did", "th", "words", F.posexplode("words").alias("at", "token")), chosen)
     base = F.greatest(F.col("at") - reach, F.lit(0))
     return p.select("term", "did", "th", "at", base.alias("base"), F.when(F.col("is_lead"), F.slice("words", base + 1, F.col("at") - base + reach + 1)).alias("around"))
 
@@ -123,24 +125,25 @@ def found(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> DataFr
 
 
 def keyed(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs as a struct, so that no name can clash), did, th."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__th": text_hash(text)})
+    return docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), text_hash(text).alias("th"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
     """The documents with fewer than min_items benchmark items; columns unchanged."""
-    bad = staged(found(docs, items).filter(F.size("ids") >= min_items).select(F.col("did").alias("__did"), F.col("th").alias("__th")), "contaminated")
-    return keyed(docs).join(small(bad), ["__did", "__th"], "left_anti").select(*docs.columns)
+    bad = staged(found(docs, items).filter(F.size("ids") >= min_items).select("did", "th"), "contaminated")
+    return keyed(docs).join(small(bad), ["did", "th"], "left_anti").select("row.*")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    hits = staged(found(docs, table(spark, sf_dir, "benchmark")), "decontaminated").withColumnsRenamed({"did": "__did", "th": "__th"})
-    rows = keyed(docs).select("doc_id", "__did", "__th", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    hits = staged(found(docs, table(spark, sf_dir, "benchmark")), "decontaminated")
+    rows = keyed(docs).select("row.doc_id", "did", "th", item_word_count(F.col("row.text")).cast("long").alias("n_words"))
     zero = F.lit(0).cast("long")
     n_items = F.coalesce(F.size("ids"), F.lit(0)).cast("long")
     ids = F.concat_ws(",", F.coalesce("ids", F.array().cast("array<string>")))
-    return rows.join(hits, ["__did", "__th"], "left").select(
+    return rows.join(hits, ["did", "th"], "left").select(
         F.col("doc_id").cast("long").alias("doc_id"), "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.greatest(n_items, zero).alias("n_items"),
         F.sha2(ids, 256).alias("items_sha256"), (n_items >= MIN_ITEMS).alias("contaminated"), F.coalesce("n_near", zero).alias("n_near"),
     )
