@@ -312,14 +312,15 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without near-duplicates of an earlier one: of each group the least doc_id (then text hash) stays, once. Columns unchanged."""
     did, th = key_of_row(docs)
-    groups = staged(joined(docs, threshold), "jaccard-groups").select(F.col("did").alias("__did"), F.col("th").alias("__th"), "class_id", "class_th")
-    rows = docs.withColumns({"__did": did, "__th": th, "__row": F.monotonically_increasing_id()})
-    gone = groups.filter("__did <> class_id or __th <> class_th").select("__did", "__th")
-    stays = rows.join(gone, ["__did", "__th"], "left_anti")
-    # equal rows: the first stays
-    twice = stays.filter(F.trim(F.coalesce("text", F.lit(""))) != "").groupBy("__did", "__th").agg(F.min("__row").alias("first"), F.count("*").alias("n")).filter("n > 1").select("__did", "__th", "first")
-    out = stays.join(small(staged(twice, "jaccard-twice")), ["__did", "__th"], "left").filter("first is null or first = __row")
-    return out.select(*docs.columns)
+    groups = staged(joined(docs, threshold), "jaccard-groups")
+    # the columns travel as a struct, so that no name can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), did.alias("did"), th.alias("th"), F.monotonically_increasing_id().alias("no"))
+    gone = groups.filter("did <> class_id or th <> class_th").select("did", "th")
+    stays = rows.join(gone, ["did", "th"], "left_anti")
+    # of equal rows with words the first stays
+    twice = rows.join(groups.select("did", "th"), ["did", "th"], "left_semi").groupBy("did", "th").agg(F.min("no").alias("first"), F.count("*").alias("n")).filter("n > 1").select("did", "th", "first")
+    out = stays.join(small(staged(twice, "jaccard-twice")), ["did", "th"], "left").filter("first is null or first = no")
+    return out.select("row.*")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,15 +105,16 @@ def inherited(own: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """fid, path, own_license, score, license, inherited_from. files: fid (unique), path, text."""
+    """The columns of files but text, and own_license, score, license, inherited_from. files: fid (unique), path, text and more."""
     weights, unseen = term_weights(files, templates)
     best = small(staged(matches(files, weights, unseen, templates, threshold), "license-matches"))
     directory = F.regexp_replace("path", r"(^|/)[^/]*$", "")
-    own = files.select("fid", "path", directory.alias("directory")).join(best, "fid", "left")
+    given = [c for c in files.columns if c != "text"]
+    own = files.select(*given, directory.alias("directory")).join(best, "fid", "left")
     dirs = small(staged(inherited(own), "license-dirs"))
     took = F.col("license").isNull() & F.col("dir_license").isNotNull()
     return own.join(dirs, "directory", "left").select(
-        "fid", "path", F.col("license").alias("own_license"), "score", F.coalesce("license", "dir_license").alias("license"), F.when(took, F.col("licence_dir")).alias("inherited_from")
+        *given, F.col("license").alias("own_license"), "score", F.coalesce("license", "dir_license").alias("license"), F.when(took, F.col("licence_dir")).alias("inherited_from")
     )
 
 
@@ -127,4 +128,4 @@ def document_files(docs: DataFrame) -> DataFrame:
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = document_files(table(spark, sf_dir, "documents"))
     got = scan(files)
-    return got.select(F.regexp_extract("path", r"([^/]*)\.txt$", 1).cast("long").alias("doc_id"), "path", "own_license", F.round("score", 6).alias("score"), "license", "inherited_from")
+    return got.select("doc_id", "path", "own_license", F.round("score", 6).alias("score"), "license", "inherited_from")

@@ -25,6 +25,8 @@ BOILERPLATE = (
 )
 #: A line needs this many separators to count as navigation.
 NAV_MARKS = 3
+#: A line of so few words without an end mark is a heading or menu entry. Longer ones may be prose without punctuation and stay.
+MENU_WORDS = 6
 #: Share of symbol characters in a line's word characters from which the line is junk.
 SYMBOL_SHARE = 0.2
 #: Share of a document's word characters that may be removed before it is rejected.
@@ -50,7 +52,7 @@ def line_fails(line: str) -> str | None:
         return "shouting"
     if _BOILER.search(s):
         return "boilerplate"
-    if not _END.search(s) and len(s.split()) >= 12 and "," not in s and "." not in s:
+    if not _END.search(s) and len(s.split()) <= MENU_WORDS:
         return "punctuation"
     return None
 
