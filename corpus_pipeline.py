@@ -15,29 +15,27 @@ from cloudloom.llm.mixing import mix
 from cloudloom.llm.quality import clean_lines
 from cloudloom.llm.sharding import described, with_shards
 
-#: Fixed by the table: the columns that all stages but the last return.
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHARDS = 16
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and documents that are rejected."""
-    return clean_lines(docs.select(*COLUMNS))
+    return clean_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
-    return one_of_each(docs.select(*COLUMNS))
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with passages of at least two benchmark items go."""
-    return decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mix(docs.select(*COLUMNS))
+    return mix(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
