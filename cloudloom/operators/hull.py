@@ -252,9 +252,11 @@ def concave_3d(p: np.ndarray, alpha: float) -> np.ndarray:
     tet = tetrahedra(p)
     a = p[tet[:, 0]]
     m, rhs = 2 * (p[tet[:, 1:]] - a[:, None]), (p[tet[:, 1:]] ** 2).sum(2) - (a**2).sum(1)[:, None]
-    ok = np.abs(np.linalg.det(m)) > 1e-18
+    edge = np.sqrt((m**2).sum(2).max(1)) / 2
+    ok = np.abs(np.linalg.det(m)) > 1e-9 * np.maximum(edge, 1e-300) ** 3
     c = np.linalg.solve(m[ok], rhs[ok][..., None])[..., 0]
-    keep = tet[ok][((c - a[ok]) ** 2).sum(1) <= alpha * alpha]
+    # flat ones hold no volume; they stay if they are small, else the faces behind them would count as surface
+    keep = np.concatenate((tet[ok][((c - a[ok]) ** 2).sum(1) <= alpha * alpha], tet[~ok][edge[~ok] <= 2 * alpha]))
     f = np.concatenate([keep[:, s] for s in ([0, 1, 2], [0, 1, 3], [0, 2, 3], [1, 2, 3])]) if len(keep) else np.zeros((0, 3), dtype=np.int64)
     if not len(f):
         return f
