@@ -329,6 +329,21 @@ def convex_3d(points: DataFrame, by: Sequence[str]) -> DataFrame:
     return _pre_reduced(points, by, kernel).groupBy(*by).applyInPandas(hull, schema)
 
 
+def checked(points: DataFrame, by: Sequence[str], tol: float = 1e-9) -> DataFrame:
+    """by, convex: whether no point of a cloud lies outside a face of its hull."""
+    schema = ", ".join([*(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in by), "convex boolean"])
+
+    def check(g: pd.DataFrame) -> pd.DataFrame:
+        p = g[["x", "y", "z"]].to_numpy()
+        t = hull_3d(p)
+        n = np.cross(p[t[:, 1]] - p[t[:, 0]], p[t[:, 2]] - p[t[:, 0]])
+        off = (n * p[t[:, 0]]).sum(1)
+        ok = all((p[lo : lo + 1000] @ n.T - off < tol).all() for lo in range(0, len(p), 1000))
+        return pd.DataFrame({**{c: [g[c].iloc[0]] for c in by}, "convex": [bool(ok)]})
+
+    return points.filter(G.finite(*G.AXES)).groupBy(*by).applyInPandas(check, schema)
+
+
 def concave(points: DataFrame, by: Sequence[str], alpha: float) -> DataFrame:
     """by, contour, pos, idx, x, y, z: contours of the planar alpha shape of each cloud."""
     schema = ", ".join([*(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in by), "contour long, pos long, idx long, x double, y double, z double"])

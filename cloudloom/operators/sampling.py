@@ -75,7 +75,7 @@ def weight_sampling_radius(points: DataFrame, percent: float = 0.5, radius: floa
 
 def weight_sampling_k(points: DataFrame, percent: float, k: int, sigma: float) -> DataFrame:
     queries = points.select(F.col("idx").alias("qidx"), *G.AXES)
-    return weighted_top(points, neighbour_weights(points, search.nearest(points, queries, k).filter("qidx <> idx"), sigma), percent)
+    return weighted_top(points, neighbour_weights(points, search.nearest_join(points, queries, k).filter("qidx <> idx"), sigma), percent)
 
 
 def random_draws(weighted: DataFrame, n: int, seed: int) -> DataFrame:

@@ -69,6 +69,57 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, dims: Sequence[str] =
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
+def _cell_size(points: DataFrame, k: int) -> float:
+    """The side of grid cells that hold about k points, seen from a point: halved from that of even density until crowded places agree."""
+    r = points.agg(F.count("*").alias("n"), *((F.max(a) - F.min(a)).alias(a) for a in G.AXES)).first()
+    sides = sorted((r[a] or 0.0) for a in G.AXES)
+    if not r["n"] or not sides[-1]:
+        return 1.0
+    solid = [s for s in sides if s > 1e-6 * sides[-1]]
+    size = float(np.prod(solid) * k / r["n"]) ** (1 / len(solid))
+    while size > 1e-6 * sides[-1]:
+        per_cell = points.groupBy(*(F.floor(F.col(a) / size) for a in G.AXES)).agg(F.count("*").alias("n"))
+        seen = per_cell.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+        if seen <= 4 * k:
+            break
+        size /= 2
+    return size
+
+
+def nearest_join(points: DataFrame, queries: DataFrame, k: int, max_rounds: int = 60) -> DataFrame:
+    """nearest() for query sets as large as the cloud: rounds of grid equi-joins.
+
+    A query that finds k points within one cell side has its k nearest, for all of them lie in the 27 cells around it; the others
+    try again with cells twice as large, up to the whole cloud. Crowded places are settled in the first rounds, with small cells.
+    """
+    from .mesh import saved
+
+    ref = points.filter(G.finite(*G.AXES)).select(F.col("idx").cast("long").alias("idx"), *G.AXES)
+    open_ = queries.filter(G.finite(*G.AXES)).select(F.col("qidx").cast("long").alias("qidx"), *G.AXES)
+    size = _cell_size(ref, k)
+    r = ref.agg(*(F.min(a).alias("lo" + a) for a in G.AXES), *(F.max(a).alias("hi" + a) for a in G.AXES)).first()
+    q = open_.agg(*(F.min(a).alias("lo" + a) for a in G.AXES), *(F.max(a).alias("hi" + a) for a in G.AXES)).first()
+    if k < 1 or r["lox"] is None or q["lox"] is None:
+        return nearest(points, queries, 0)
+    across = sum((max(r["hi" + a], q["hi" + a]) - min(r["lo" + a], q["lo" + a])) ** 2 for a in G.AXES) ** 0.5
+    w = Window.partitionBy("qidx").orderBy("d2", "idx")
+    found = None
+    for _ in range(max_rounds):
+        last = size >= across
+        top = within(ref, open_, size).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+        top = saved(top.withColumn("n", F.max("rank").over(Window.partitionBy("qidx"))))
+        settled = top if last else top.filter(F.col("n") == k)
+        part = settled.select("qidx", "idx", "d2", "rank")
+        found = part if found is None else found.unionByName(part)
+        if last:
+            break
+        open_ = saved(open_.join(settled.select("qidx").distinct(), "qidx", "left_anti"))
+        if not open_.limit(1).count():
+            break
+        size *= 2
+    return found
+
+
 def within(points: DataFrame, queries: DataFrame, radius: float, max_nn: int = 0, squared: bool = False, first_by: str = "idx") -> DataFrame:
     """qidx, idx, d2: points within the radius of each query, inclusive. max_nn > 0 keeps the first by `first_by` ('idx' or 'd2').
 

@@ -136,7 +136,7 @@ def j15(spark, sf):
 @query("J16_knn_join_for_cloud", knn_sql("keyed", 5, "qidx, rank, idx, round(d2, 9) AS d2"), "keyed")
 def j16(spark, sf):
     c = keyed(spark, sf)
-    return rounded(S.nearest(c, asked(c), 5), 9)
+    return rounded(S.nearest_join(c, asked(c), 5), 9)
 
 
 @query("J17_knn_for_point", "SELECT idx, round(x * x + y * y + z * z, 9) AS d2 FROM cloud ORDER BY x * x + y * y + z * z, idx LIMIT 20", "cloud")

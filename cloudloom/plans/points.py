@@ -365,9 +365,9 @@ def t3(spark, sf):
     return rounded(sampling.neighbour_weights(c, pairs, 0.1), 9)
 
 
-@query("T3_weight_sampling_k")
+@query("T3_weight_sampling_k", "WITH pr AS (SELECT a.idx AS q, b.idx, b.x, b.y, b.z, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z) AS d2 FROM cloud a, cloud b), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, idx) AS r FROM pr), m AS (SELECT q, sum(exp(-d2 / 2.25) * x) / sum(exp(-d2 / 2.25)) AS mx, sum(exp(-d2 / 2.25) * y) / sum(exp(-d2 / 2.25)) AS my, sum(exp(-d2 / 2.25) * z) / sum(exp(-d2 / 2.25)) AS mz FROM k WHERE r <= 10 AND q <> idx GROUP BY q), w AS (SELECT c.idx, (mx - x) * (mx - x) + (my - y) * (my - y) + (mz - z) * (mz - z) AS w FROM cloud c JOIN m ON m.q = c.idx) SELECT idx, round(w, 9) AS weight FROM (SELECT *, row_number() OVER (ORDER BY w DESC, idx) AS r FROM w) WHERE r <= CAST(floor(0.4 * (SELECT count(*) FROM cloud)) AS BIGINT)", "cloud")
 def t3k(spark, sf):
-    return sampling.weight_sampling_k(cloud(spark, sf), 0.4, 10, 1.5).select("idx", "weight")
+    return rounded(sampling.weight_sampling_k(cloud(spark, sf), 0.4, 10, 1.5).select("idx", "weight"), 9)
 
 
 @query("T4_random_distribution")

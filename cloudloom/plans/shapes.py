@@ -89,20 +89,7 @@ def h8(spark, sf):
 
 @query("H9_hull_check", "SELECT label, true AS convex FROM cloud GROUP BY label", "cloud")
 def h9(spark, sf):
-    """No point of a cloud lies outside a face of its hull."""
-    c = cloud(spark, sf)
-    f = H.convex_3d(c, ["label"])
-    for i in range(3):
-        f = f.join(c.select(F.col("idx").alias(f"v{i}"), *(F.col(a).alias(f"{a}{i}") for a in "xyz")), f"v{i}")
-    p = [[F.col(f"{a}{i}") for a in "xyz"] for i in range(3)]
-    n = G.cross([b - a for a, b in zip(p[0], p[1], strict=True)], [b - a for a, b in zip(p[0], p[2], strict=True)])
-    planes = f.select("label", *(v.alias(f"n{i}") for i, v in enumerate(n)), G.dot(n, p[0]).alias("off"))
-    j = c.join(planes, "label")
-    out = G.dot([F.col(f"n{i}") for i in range(3)], G.points()) - F.col("off")
-    return j.groupBy("label").agg((F.max(out) < 1e-9).alias("convex"))
-
-
-_CROSS = "CASE axis WHEN 0 THEN {v}.x WHEN 1 THEN {v}.y ELSE {v}.z END - level"
+    return H.checked(cloud(spark, sf), ["label"])
 
 
 @query("H11_slice_perimeter", MESH + """, b AS (SELECT CASE WHEN ex <= ey AND ex <= ez THEN 0 WHEN ey <= ez THEN 1 ELSE 2 END AS axis, mx, my, mz FROM (SELECT max(x) - min(x) AS ex, max(y) - min(y) AS ey, max(z) - min(z) AS ez, (max(x) + min(x)) / 2 AS mx, (max(y) + min(y)) / 2 AS my, (max(z) + min(z)) / 2 AS mz FROM verts)),

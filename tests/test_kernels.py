@@ -192,6 +192,18 @@ def test_search_edges(spark):
     assert search.nearest(df, q.filter("false"), 3).count() == 0
 
 
+def test_nearest_join_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    p = np.concatenate((rng.normal(0, 0.01, (150, 3)), rng.uniform(-5, 5, (100, 3)), np.zeros((5, 3)), [[50.0, 50, 50]]))
+    df = arrays.from_array(spark, p)
+    q = df.withColumnRenamed("idx", "qidx")
+    key = lambda rows: sorted((r.qidx, r["rank"], r.idx) for r in rows)
+    assert key(search.nearest_join(df, q, 4).collect()) == key(search.nearest(df, q, 4).collect())
+    assert search.nearest_join(df, q.filter("false"), 4).count() == 0
+    few = df.filter("idx < 3")
+    assert search.nearest_join(few, q, 4).count() == 3 * q.count()
+
+
 def test_query_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "QUERY_BLOCK", 7)
     df = arrays.from_array(spark, np.random.default_rng(1).normal(size=(40, 3)))
