@@ -122,7 +122,7 @@ def c4(spark, sf):
     return O.voxels(O.indexed(big(spark, sf), (0.0, 0.0, 0.0), 5.0))
 
 
-@query("C5_voxel_centres_and_bounds", "SELECT DISTINCT kx, ky, kz, round((kx + 0.5) * 0.1 - 1.6, 6) AS cx, round(kx * 0.1 - 1.6, 6) AS lo_x, round((kx + 1) * 0.1 - 1.6, 6) AS hi_x FROM keys", "keys")
+@query("C5_voxel_centres_and_bounds", "SELECT DISTINCT kx, ky, kz, CAST(round((kx + 0.5) * 0.1 - 1.6, 6) AS DOUBLE) AS cx, CAST(round(kx * 0.1 - 1.6, 6) AS DOUBLE) AS lo_x, CAST(round((kx + 1) * 0.1 - 1.6, 6) AS DOUBLE) AS hi_x FROM keys", "keys")
 def c5(spark, sf):
     v = O.centres(indexed(spark, sf).select(*O.KEYS).distinct(), ORIGIN, RES)
     return rounded(v.select(*O.KEYS, "cx", (F.col("kx") * RES + ORIGIN[0]).alias("lo_x"), ((F.col("kx") + 1) * RES + ORIGIN[0]).alias("hi_x")))
@@ -221,7 +221,7 @@ def a18(spark, sf):
     return O.voxels(indexed(spark, sf), F.max("idx").alias("last_idx"), F.concat_ws(",", F.sort_array(F.collect_list("idx")).cast("array<string>")).alias("all_idx"))
 
 
-@query("A19_occupied_centres", "SELECT DISTINCT round((kx + 0.5) * 0.1 - 1.6, 6) AS cx, round((ky + 0.5) * 0.1 - 1.6, 6) AS cy, round((kz + 0.5) * 0.1 - 1.6, 6) AS cz FROM keys", "keys")
+@query("A19_occupied_centres", "SELECT DISTINCT CAST(round((kx + 0.5) * 0.1 - 1.6, 6) AS DOUBLE) AS cx, CAST(round((ky + 0.5) * 0.1 - 1.6, 6) AS DOUBLE) AS cy, CAST(round((kz + 0.5) * 0.1 - 1.6, 6) AS DOUBLE) AS cz FROM keys", "keys")
 def a19(spark, sf):
     v = O.centres(indexed(spark, sf).select(*O.KEYS).distinct(), ORIGIN, RES)
     return rounded(v.select("cx", "cy", "cz"))

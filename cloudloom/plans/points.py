@@ -498,7 +498,7 @@ def c11b(spark, sf):
     return rounded(c.select("label", low.alias("low"), high.alias("high")))
 
 
-@query("C12_inverse_identity", "SELECT idx, i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS v FROM cloud, (VALUES (0), (1), (2)) a(i), (VALUES (0), (1), (2)) b(j)", "cloud")
+@query("C12_inverse_identity", "SELECT idx, i, j, CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE) AS v FROM cloud, (VALUES (0), (1), (2)) a(i), (VALUES (0), (1), (2)) b(j)", "cloud")
 def c12(spark, sf):
     """A matrix of each point times its inverse."""
     x, y, z = G.points()
@@ -516,10 +516,10 @@ def c12b(spark, sf):
     return rounded(cloud(spark, sf).select("idx", d2.alias("d2"), d3.alias("d3")))
 
 
-@query("C13_euler_round_trip", "SELECT 0.3 AS roll, -0.2 AS pitch, 0.7 AS yaw")
+@query("C13_euler_round_trip", "SELECT 0.3::DOUBLE AS roll, -0.2::DOUBLE AS pitch, 0.7::DOUBLE AS yaw")
 def c13(spark, sf):
     r, p, y = (round(v, 6) for v in G.euler_angles(M))
-    return spark.createDataFrame([(r, p, y)], "roll double, pitch double, yaw double").select(*(F.col(c).cast("decimal(2,1)").alias(c) for c in ("roll", "pitch", "yaw")))
+    return spark.createDataFrame([(r, p, y)], "roll double, pitch double, yaw double")
 
 
 @query("C17_point_in_polygon", "SELECT idx, abs(x) + abs(y) < 0.15 AS inside FROM cloud", "cloud")

@@ -51,13 +51,13 @@ def h2(spark, sf):
     return rounded(H.convex_3d(cloud(spark, sf), ["label"]))
 
 
-@query("H3_area_and_volume", "SELECT 1.0 AS side, 6.0 AS area, 1.0 AS volume UNION ALL SELECT 2.0, 24.0, 8.0 UNION ALL SELECT 3.0, 54.0, 27.0")
+@query("H3_area_and_volume", "SELECT CAST(s AS DOUBLE) AS side, CAST(6 * s * s AS DOUBLE) AS area, CAST(s * s * s AS DOUBLE) AS volume FROM range(1, 4) t(s)")
 def h3(spark, sf):
     """Hulls of cubes with inner points."""
     i = F.col("id")
     p = spark.range(3 * 125).select((F.floor(i / 125) + 1).cast("double").alias("side"), (i % 125).alias("idx"))
     p = p.select("side", "idx", *((F.floor(F.col("idx") / d) % 5 / 4 * F.col("side")).alias(a) for a, d in (("x", 25), ("y", 5), ("z", 1))))
-    return rounded(H.convex_3d(p, ["side"]).groupBy("side").agg(F.first("area").alias("area"), F.first("volume").alias("volume"))).select(*(F.col(c).cast("decimal(3,1)").alias(c) for c in ("side", "area", "volume")))
+    return rounded(H.convex_3d(p, ["side"]).groupBy("side").agg(F.first("area").alias("area"), F.first("volume").alias("volume")))
 
 
 @query("H4_concave_hull")
