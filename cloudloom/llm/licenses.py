@@ -129,3 +129,28 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = document_files(table(spark, sf_dir, "documents"))
     got = scan(files)
     return got.select("doc_id", "path", "own_license", F.round("score", 6).alias("score"), "license", "inherited_from")
+
+
+_TERMS = ", ".join(f"('{name}', '{w}', {k})" for name, terms in template_terms(TEMPLATES).items() for w, k in terms.items())
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || CAST(coalesce(doc_id, 0) // 100 AS VARCHAR) AS dir, coalesce(source, 'none') AS dir1,
+         coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS dir2, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+tpl(name, term, k) AS (VALUES TERMS),
+u AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+tok AS (SELECT doc_id, i, term, count(*) AS c FROM (SELECT doc_id, i, unnest(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM u) GROUP BY 1, 2, 3),
+n AS (SELECT count(*) AS n FROM documents),
+w AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS w FROM (SELECT v.term, n, count(DISTINCT tok.doc_id) AS df FROM (SELECT DISTINCT term FROM tpl) v CROSS JOIN n LEFT JOIN tok USING (term) GROUP BY 1, 2)),
+len AS (SELECT name, sqrt(sum(k * w * k * w)) AS len FROM tpl JOIN w USING (term) GROUP BY name),
+norm AS (SELECT doc_id, i, sqrt(sum(pow(c * coalesce(w, ln(1 + n) + 1), 2))) AS norm FROM tok CROSS JOIN n LEFT JOIN w USING (term) GROUP BY 1, 2),
+dot AS (SELECT doc_id, i, name, sum(c * k * w * w) AS dot FROM tok JOIN tpl USING (term) JOIN w USING (term) GROUP BY 1, 2, 3),
+sc AS (SELECT doc_id, name, dot / (norm * len) AS score FROM dot JOIN norm USING (doc_id, i) JOIN len USING (name)),
+best AS (SELECT doc_id, name, least(score, 1) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, name) AS r FROM sc WHERE score >= 0.7) WHERE r = 1),
+own AS (SELECT d.doc_id, dir, dir1, dir2, best.name AS own_license, best.score FROM d LEFT JOIN best USING (doc_id)),
+lic AS (SELECT dir, own_license AS license FROM (SELECT dir, own_license, row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, own_license) AS r FROM own WHERE own_license IS NOT NULL GROUP BY dir, own_license) WHERE r = 1)
+SELECT o.doc_id, o.dir || '/' || o.doc_id || '.txt' AS path, own_license, round(score, 6) AS score, coalesce(own_license, a.license, b.license, c.license) AS license,
+       CASE WHEN own_license IS NOT NULL THEN NULL WHEN a.license IS NOT NULL THEN a.dir WHEN b.license IS NOT NULL THEN b.dir WHEN c.license IS NOT NULL THEN c.dir END AS inherited_from
+FROM own o LEFT JOIN lic a ON a.dir = o.dir LEFT JOIN lic b ON b.dir = o.dir2 LEFT JOIN lic c ON c.dir = o.dir1
+""".replace("TERMS", _TERMS)

@@ -37,6 +37,7 @@ _MARKS = re.compile(r"[|»›•>]|&gt;")
 _SYMBOLS = b"#*$%&|<>"
 _SYMBOL_SET = frozenset("#*$%&|<>")
 _WHITE = b" \t\n\x0b\x0c\r"
+_LOWER = re.compile("[a-z]")
 _END = re.compile(r"""[.!?:;,…。！？]["'”’»)\]]*$""")
 
 
@@ -48,11 +49,11 @@ def line_fails(line: str) -> str | None:
         return "navigation"
     if sum(map(s.count, _SYMBOL_SET)) > SYMBOL_SHARE * chars:
         return "symbols"
-    if s.count("!") >= 4 and s.upper() == s:
+    if s.count("!") >= 4 and not _LOWER.search(s):
         return "shouting"
     if _BOILER.search(s):
         return "boilerplate"
-    if not _END.search(s) and len(s.split()) <= MENU_WORDS:
+    if not _END.search(s) and len(s.encode("utf-8", "surrogatepass").split()) <= MENU_WORDS:
         return "punctuation"
     return None
 
@@ -150,3 +151,28 @@ def clean_lines(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
 
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, r, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+win AS (SELECT r, i, w[i:i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+s AS (SELECT r, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s, len(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS n FROM l),
+f AS (
+  SELECT r, line, n, n > 0 AND (
+    len(regexp_extract_all(s, '[|»›•>]|&gt;')) >= 3 OR len(regexp_extract_all(s, '[#*$%&|<>]')) > 0.2 * n
+    OR (len(regexp_extract_all(s, '!')) >= 4 AND NOT regexp_matches(s, '[a-z]')) OR regexp_matches(s, '(?i)BOILER')
+    OR (NOT regexp_matches(s, '[.!?:;,…。！？]["''”’»)\]]*$') AND len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) <= 6)) AS fails
+  FROM s),
+c AS (SELECT r, sum(n) AS total, sum(CASE WHEN fails THEN n ELSE 0 END) AS lost, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS dup FROM f GROUP BY r),
+j AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(total AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(dup AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(lost AS BIGINT) AS removed_chars
+  FROM w JOIN c USING (r) LEFT JOIN rep USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND removed_chars <= 0.5 * word_chars AS kept, removed_chars
+FROM j
+""".replace("BOILER", "|".join(BOILERPLATE))
