@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,8 +51,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     jvm = spark._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    gc.collect()
     jvm.System.gc()  # lets Spark drop the shuffle files of the finished step
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: all that was made of them must be staged itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -85,7 +97,8 @@ def item_words(text: Column) -> Column:
 def item_word_count(text: Column) -> Column:
     """The number of words of item_words(), without lower-casing: A-Z are no gap here."""
     parts = F.split(F.coalesce(text, F.lit("")), CASED_GAP, -1)
-    return F.aggregate(F.array(F.get(parts, F.lit(0)), F.get(parts, F.size(parts) - 1)), F.size(parts), lambda n, x: n - F.when(x == "", 1).otherwise(0)) + F.when((F.size(parts) == 1) & (parts[0] == ""), 1).otherwise(0)
+    n = F.size(parts)
+    return n - F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0) - F.when((n > 1) & (F.get(parts, n - 1) == ""), 1).otherwise(0)
 
 
 def text_hash(c: Column) -> Column:

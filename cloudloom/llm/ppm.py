@@ -19,19 +19,21 @@ documents every token is unseen and each byte has probability 1/256.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_chunks, staged, table, word_hashes
+from .common import discard, in_chunks, staged, table, word_hashes
 
 ORDER = 5
 MAX_ENTRIES = 6_000_000
 #: Text bytes of a block, and of the pieces in which counts are taken.
-BLOCK_BYTES, PIECE_BYTES = 6 << 20, 2 << 20
+BLOCK_BYTES, PIECE_BYTES = 12 << 20, 2 << 20
 #: The end token's place in the table of word hashes.
 END = 0
 
@@ -280,8 +282,8 @@ def shortened(keys: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np
     return [merged_counts([(keys & _U((1 << (8 * (k + 1))) - 1), counts)]) for k in range(order + 1)]
 
 
-def packed_trie(counts: DataFrame, order: int, limit: int = MAX_ENTRIES) -> PackedTrie:
-    """The trie of summed context counts (key, n; staged), at most `limit` of them. One cutoff holds for all lengths, so what a context has, its suffix has."""
+def trie_entries(counts: DataFrame, order: int, limit: int = MAX_ENTRIES) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The trie's entries, from summed context counts (key, n; staged), at most `limit` of them. One cutoff holds for all lengths, so what a context has, its suffix has."""
     levels = [counts.groupBy(F.col("key").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("key")).agg(F.sum("n").alias("n")).withColumn("k", F.lit(k)) for k in range(order)]
     every = counts.select("key", "n", F.lit(order).alias("k"))
     for x in levels:
@@ -299,21 +301,35 @@ def packed_trie(counts: DataFrame, order: int, limit: int = MAX_ENTRIES) -> Pack
         keys, n = got.column("key").to_numpy().view(_U), got.column("n").to_numpy()
         sort = np.argsort(keys)
         entries.append((keys[sort], n[sort]))
-    return PackedTrie(entries)
+    discard(every)
+    return entries
+
+
+_packed: dict[str, PackedTrie] = {}
+
+
+def packed(key: str, entries: Broadcast) -> PackedTrie:
+    """The trie of broadcast entries, built once in a worker: the entries are several times smaller, so neither the driver nor the network carries its tables."""
+    if key not in _packed:
+        _packed.clear()
+        _packed[key] = PackedTrie(entries.value)
+    return _packed[key]
 
 
 def scored(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     rows, blocks = blocked(docs, block_bytes)
-    together = rows.repartition(max(blocks // 2, 1), "block").sortWithinPartitions("block")
+    together = rows.repartition(max(blocks // 4, min(blocks, 12)), "block").sortWithinPartitions("block")
     got = staged(learnt(together, order), "ppm-learnt")
     words = staged(got.filter("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0"), "ppm-words")
     total, distinct = words.agg(F.sum("n"), F.count("*")).first()
     total, distinct = total or 0, distinct or 0
     contexts = staged(got.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "ppm-contexts")
-    model = spark.sparkContext.broadcast(packed_trie(contexts, order))
-    own = got.filter("kind = 0").select("block", "key").join(words, "key").select("block", "key", "n")
+    own = staged(got.filter("kind = 0").select("block", "key").join(words, "key").select("block", "key", "n"), "ppm-block-words")
+    discard(got, words)
+    entries, model = spark.sparkContext.broadcast(trie_entries(contexts, order)), uuid.uuid4().hex
+    discard(contexts)
     unseen, bottom = 0.5 / (total + 0.5 * (distinct + 1)), total + 0.5 * (distinct + 1)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -343,7 +359,7 @@ def scored(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES)
             n_tokens += (np.diff(bounds) + 1).tolist()
             n_known += (np.diff(hits[bounds]) + int(end_known)).tolist()
             base += (np.diff(sums[bounds]) + end).tolist()
-            score += model.value.score(texts).tolist()
+            score += packed(model, entries).score(texts).tolist()
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
             "train_tokens": pa.array([total] * len(raw), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()),
