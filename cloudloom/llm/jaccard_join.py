@@ -30,9 +30,11 @@ from .decontaminate import NULL_ID
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
-TOKENS, BRANCH = 128, 3.0
+TOKENS, BRANCH = 128, 2.0
 #: Sets of a node up to which it is searched, and levels after which it is searched whatever its size.
-LEAF, DEPTH = 200, 4
+LEAF, DEPTH = 4000, 6
+#: Sets of a root's child above which its members are linked to a pivot first.
+PIVOTED = 200
 #: Sets that one task compares.
 BLOCK = 800
 #: A pair is a candidate if its share of equal tokens is at most this many standard errors below the threshold.
@@ -76,6 +78,16 @@ def shingles(texts: list[bytes], words: int = SHINGLE_WORDS) -> tuple[np.ndarray
     return value, np.searchsorted(own, np.arange(len(texts) + 1))
 
 
+def shingles_in_pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """shingles() of any number of texts; the bytes that are worked on at once are bounded."""
+    values, bounds = [np.zeros(0, dtype=_U)], [np.zeros(1, dtype=np.int64)]
+    for lo, hi in in_chunks([len(t) for t in texts]):
+        v, b = shingles(texts[lo:hi])
+        values.append(v)
+        bounds.append(b[1:] + bounds[-1][-1])
+    return np.concatenate(values), np.concatenate(bounds)
+
+
 def key_of_row(docs: DataFrame) -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), text_hash(F.coalesce(F.col("text"), F.lit("")))
 
@@ -131,19 +143,27 @@ def embedded(docs: DataFrame, runs: int) -> DataFrame:
 
 
 def split(nodes: DataFrame) -> DataFrame:
-    """node, cid, short of the children. nodes: node, cid, short."""
+    """node, cid, comp, short of the children. nodes: node, cid, comp, short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            short = b.column(2).to_pylist()
-            cid = b.column(1).to_numpy()
+            short = b.column(3).to_pylist()
+            cid, comp = b.column(1).to_numpy(), b.column(2).to_numpy()
             node = b.column(0).to_numpy().view(_U)
             for lo in range(0, len(short), 2000):
                 part = np.frombuffer(b"".join(short[lo : lo + 2000]), dtype=np.uint8).reshape(-1, TOKENS)
                 row, child = choose(node[lo : lo + 2000], short_tokens(part))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(cid[lo : lo + 2000][row]), pa.array([short[lo + r] for r in row.tolist()], pa.binary())], names=["node", "cid", "short"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(child.view(np.int64)), pa.array(cid[lo : lo + 2000][row]), pa.array(comp[lo : lo + 2000][row]), pa.array([short[lo + r] for r in row.tolist()], pa.binary())],
+                    names=["node", "cid", "comp", "short"],
+                )
+
+    return nodes.select("node", "cid", "comp", "short").mapInArrow(run, "node long, cid long, comp long, short binary")
 
-    return nodes.select("node", "cid", "short").mapInArrow(run, "node long, cid long, short binary")
+
+def least_equal(threshold: float) -> int:
+    """Equal tokens from which a pair is a candidate."""
+    return math.ceil(TOKENS * (threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / TOKENS)))
 
 
 class Forest:
@@ -180,26 +200,25 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def search(leaves: DataFrame, threshold: float) -> DataFrame:
-    """a, b: spanning links of the candidates within each leaf. leaves: node, half (0, or 1 for the second block of two), cid, short; in order of node."""
-    least = math.ceil(TOKENS * (threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / TOKENS)))
+    """a, b: links between candidates of each leaf that join what no component or earlier link joins. leaves: node, cid, comp, short; in order of node."""
+    least = least_equal(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for rows in grouped(batches):
             x = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(-1, TOKENS)
-            forest = Forest(len(rows))
+            _, comp = np.unique(np.array([r[2] for r in rows], dtype=np.int64), return_inverse=True)
+            forest = Forest(int(comp.max()) + 1)
             for i in range(len(rows) - 1):
-                for j in np.flatnonzero((x[i + 1 :] == x[i]).sum(1) >= least).tolist():
-                    forest.unite(i, i + 1 + j)
-            for i, r in forest.links():
-                a.append(rows[i][2])
-                b.append(rows[r][2])
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
+                other = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+                for j in other[(x[other] == x[i]).sum(1) >= least].tolist():
+                    if forest.root(int(comp[i])) != forest.root(int(comp[j])):
+                        forest.unite(int(comp[i]), int(comp[j]))
+                        a.append(rows[i][1])
+                        b.append(rows[j][1])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return leaves.select("node", "half", "cid", "short").mapInArrow(run, "a long, b long")
+    return leaves.select("node", "cid", "comp", "short").mapInArrow(run, "a long, b long")
 
 
 def block_pairs(rows: DataFrame, key: str, count: str, block: int) -> DataFrame:
@@ -212,21 +231,42 @@ def block_pairs(rows: DataFrame, key: str, count: str, block: int) -> DataFrame:
     return rows.withColumn("half", (F.col("mine") > F.col("other")).cast("int")).withColumn("task", F.when(F.col("blocks") == 1, F.col(key)).otherwise(F.xxhash64(key, lo, hi))).drop("blocks", "mine", "other")
 
 
+def to_pivots(nodes: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links of the members of each node to its least member, where they are candidates. nodes: node, cid, short."""
+    least = least_equal(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(-1, TOKENS) for i in (1, 3))
+            keep = pa.array((x == y).sum(1) >= least)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(2).filter(keep)], names=["a", "b"])
+
+    pivots = nodes.groupBy("node").agg(F.min(F.struct("cid", "short")).alias("p")).select("node", F.col("p.cid").alias("pivot"), F.col("p.short").alias("pivot_short"))
+    return nodes.join(pivots, "node").filter("cid <> pivot").select("cid", "short", "pivot", "pivot_short").mapInArrow(run, "a long, b long")
+
+
 def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
-    """a, b: links that join all candidate classes. classes: cid, short, nodes (staged)."""
-    level = classes.select(F.explode("nodes").alias("node"), "cid")
+    """a, b: links that join all candidate classes. classes: cid, short, nodes (staged).
+
+    Members of large nodes are first linked to the node's pivot. What that joins needs no further search: a node, or child of a node, whose
+    members are all in one component is done. So a large group of near copies is not carried from level to level.
+    """
     short = classes.select("cid", "short")
-    found = None
+    level = classes.select(F.explode("nodes").alias("node"), "cid")
+    counts = level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+    level = staged(level.join(counts, "node"), "path-roots")
+    found = staged(to_pivots(level.filter(F.col("n") > PIVOTED).select("node", "cid").join(short, "cid"), threshold).distinct(), "path-pivots")
+    roots = staged(components(found), "path-components").select(F.col("node").alias("cid"), "root")
+    level = level.drop("n").join(roots, "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
     for depth in range(DEPTH + 1):
-        counts = level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+        counts = level.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("node", "n")
         level = level.join(counts, "node")
         if depth == 0:
             level = level.join(short, "cid")
-        level = staged(level.select("node", "n", "cid", "short"), "path-level")
+        level = staged(level.select("node", "n", "cid", "comp", "short"), "path-level")
         leaves = level.filter(F.col("n") <= LEAF) if depth < DEPTH else level
-        dealt = block_pairs(leaves, "node", "n", max(LEAF, BLOCK)).select(F.col("task").alias("node"), "half", "cid", "short")
-        links = staged(search(dealt.repartition("node").sortWithinPartitions("node"), threshold), "path-links")
-        found = links if found is None else found.union(links)
+        dealt = block_pairs(leaves, "node", "n", LEAF).select(F.col("task").alias("node"), "cid", "comp", "short")
+        found = found.union(staged(search(dealt.repartition("node").sortWithinPartitions("node"), threshold), "path-links"))
         big = level.filter(F.col("n") > LEAF)
         if depth == DEPTH or not big.limit(1).count():
             return found
@@ -243,7 +283,7 @@ def compared(rows: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches):
             split_task = len({r[1] for r in group}) > 1
-            value, bounds = shingles([r[4] for r in group])
+            value, bounds = shingles_in_pieces([r[4] for r in group])
             size = np.diff(bounds)
             own = np.repeat(np.arange(len(group)), size)
             order = np.argsort(value, kind="stable")

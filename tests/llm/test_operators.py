@@ -126,9 +126,10 @@ def test_jaccard_join(spark, sf, docs):
     assert {frozenset(x) for x in by_class.values()} == {frozenset(x) for x in group.values()}
 
 
-def test_jaccard_blocks_and_splits(spark, monkeypatch):
+@pytest.mark.parametrize("pivoted", [8, 1000])
+def test_jaccard_blocks_and_splits(spark, monkeypatch, pivoted):
     """Large nodes are split, large groups are dealt into block pairs, and no link is lost."""
-    for name, value in (("LEAF", 5), ("BLOCK", 7), ("DEPTH", 2)):
+    for name, value in (("LEAF", 5), ("BLOCK", 7), ("DEPTH", 2), ("PIVOTED", pivoted)):
         monkeypatch.setattr(jaccard_join, name, value)
     rng = np.random.default_rng(5)
     base = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
@@ -333,7 +334,7 @@ def test_pruned_trie_scores(spark):
 
     k, n = ppm.gram_counts([b"the cat sat on the mat and the dog sat on the log"] * 5, 3)
     counts = staged(spark.createDataFrame([(int(a), int(b)) for a, b in zip(k, n, strict=True)], "key long, n long"), "grams")
-    assert ppm.packed_trie(counts, 3, limit=60).score([b"the cat"])[0] < 0
+    assert ppm.PackedTrie(ppm.trie_entries(counts, 3, limit=60)).score([b"the cat"])[0] < 0
 
 
 def brute_chunks(docs):
