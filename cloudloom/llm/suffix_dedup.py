@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_chunks, prefix_sums, small, span_hashes, staged, table, text_hash
+from .common import discard, in_chunks, prefix_sums, small, span_hashes, staged, table, text_hash
 from .decontaminate import NULL_ID
 
 MIN_BYTES = 200
@@ -245,8 +245,10 @@ def repeat_spans(docs: DataFrame, length: int = MIN_BYTES, anchor: int = ANCHOR,
     rows = keyed(docs)
     a = staged(anchors(rows, length, anchor), "suffix-anchors")
     often = a.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    served = a.select("h", "did", "th").join(often, "h", "left_semi").groupBy("did", "th").agg(F.collect_set("h").alias("often"))
+    served = staged(a.select("h", "did", "th").join(often, "h", "left_semi").groupBy("did", "th").agg(F.collect_set("h").alias("often")), "suffix-served")
+    discard(a)
     live = staged(live_stretches(rows.join(served, ["did", "th"]), length, anchor).withColumn("body_hash", F.xxhash64("body")), "suffix-stretches")
+    discard(served)
     place = F.struct("did", "th", "start")
     merged = staged(live.groupBy("h", "at", "body", "body_hash").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")), "suffix-merged")
     hot_anchors = small(staged(merged.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > hot).select("h"), "suffix-hot"))
@@ -263,7 +265,9 @@ def repeat_spans(docs: DataFrame, length: int = MIN_BYTES, anchor: int = ANCHOR,
         each = F.transform(F.array_except(inner, kept), lambda i: F.struct((F.col("start") + i).alias("lo"), (F.col("start") + i + length).alias("hi")))
     else:
         each = F.transform("again", lambda r: F.struct((F.col("start") + r[0]).alias("lo"), (F.col("start") + r[1] - 1 + length).alias("hi")))
-    return hits.select("did", "th", each.alias("s")).groupBy("did", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    spans = staged(hits.select("did", "th", each.alias("s")).groupBy("did", "th").agg(F.flatten(F.collect_list("s")).alias("spans")), "suffix-spans")
+    discard(live, merged, judged)
+    return spans
 
 
 def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
