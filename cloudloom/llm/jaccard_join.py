@@ -370,3 +370,16 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", did.alias("did"), th.alias("th"))
     doc_id = F.col("doc_id").cast("long")
     return rows.join(got, ["did", "th"], "left").select(doc_id.alias("doc_id"), F.coalesce("class_id", doc_id).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copy_id", doc_id).alias("copy_id"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(w[i:i + 4]) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, c = na.n AND c = nb.n AS copy FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 5 * c >= 4 * (na.n + nb.n - c)),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id)
+SELECT d.doc_id, (SELECT min(root) FROM r WHERE r.doc_id = d.doc_id) AS class_id, (SELECT count(*) FROM l WHERE a = d.doc_id) AS n_links,
+       least(d.doc_id, (SELECT min(b) FROM l WHERE a = d.doc_id AND copy)) AS copy_id
+FROM documents d
+"""

@@ -319,3 +319,18 @@ def brute_force(texts: list[bytes], length: int) -> list[tuple[int, int, str]]:
         left, removed, n = cut_out(t, [(i, i + length) for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1])
         out.append((removed, n, hashlib.sha256(left).hexdigest()))
     return out
+
+
+OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS g FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+t AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM s) WHERE n > 1),
+m AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS fresh FROM t),
+k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m),
+r AS (SELECT doc_id, run, min(i) AS lo, max(i) + 200 AS hi FROM k GROUP BY doc_id, run),
+g AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS free FROM r),
+x AS (SELECT d.doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, string_agg(substr(h, 2 * free + 1, 2 * (lo - free)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept
+      FROM g JOIN d USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
