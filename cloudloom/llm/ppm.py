@@ -6,11 +6,13 @@ already ruled out (symbol exclusion). The escape estimate is that of method C: a
 coded with an end mark, byte 0, after ORDER such bytes.
 
 `Trie` is the plain form; it scores with a pretrained trie or adapts while it reads. `PackedTrie` holds the same counts in hash
-tables and scores millions of bytes at a time. Counts are summed over all training documents; the broadcast trie has at most MAX_ENTRIES
-context-byte counts: beyond that, counts below the least cutoff that fits are left to the shorter contexts.
+tables, for tries that fit a process; MAX_ENTRIES bounds those only.
 
-The word baseline needs a table that grows with the corpus, so it is not broadcast: documents are dealt into blocks, each
-block's distinct words are joined with the counts, and block and words meet again. Blocks follow a hash of doc_id and text.
+The query drops no count, so trie and words grow with the corpus and stay in tables: documents are dealt into blocks, each
+block's distinct words are joined with their counts and its distinct contexts with their coded lengths, and block, words and contexts
+meet again. Blocks follow a hash of doc_id and text. What a byte costs depends on it and the ORDER bytes before it alone, so it is worked out once
+for each of these that the corpus has: from its context where training has it, else by joins with ever shorter contexts. The
+contexts of a block travel packed, in BUCKETS parts by a hash of the context.
 
 Null texts are empty: their words are the end token alone and their score is that of the end mark. Repeated rows get equal scores. Without training
 documents every token is unseen and each byte has probability 1/256.
@@ -19,21 +21,23 @@ documents every token is unseen and each byte has probability 1/256.
 from __future__ import annotations
 
 import math
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, in_chunks, staged, table, word_hashes
+from .common import discard, in_chunks, small, staged, table, word_hashes
 
 ORDER = 5
 MAX_ENTRIES = 6_000_000
 #: Text bytes of a block, and of the pieces in which counts are taken.
 BLOCK_BYTES, PIECE_BYTES = 12 << 20, 2 << 20
+#: Parts by which the packed contexts of all blocks meet.
+BUCKETS = 256
 #: The end token's place in the table of word hashes.
 END = 0
 
@@ -227,20 +231,48 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame,
     return docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), raw.alias("raw")), n
 
 
+def bucket_of(keys: np.ndarray) -> np.ndarray:
+    """The part of each key, by its context."""
+    return (((keys >> _U(8)) * _U(0x9E3779B97F4A7C15)) >> _U(64 - BUCKETS.bit_length() + 1)).astype(np.uint8)
+
+
+def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys and their counts (of one block, so below 2**32) in few bytes."""
+    steps = np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8)
+    return zlib.compress(steps.T.tobytes() + counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(12, n)
+    keys = np.cumsum(np.ascontiguousarray(planes[:8].T).view(_U).ravel(), dtype=_U)
+    return keys, np.ascontiguousarray(planes[8:].T).view(np.uint32).ravel().astype(np.int64)
+
+
 def learnt(rows: DataFrame, order: int) -> DataFrame:
-    """kind, block, key, n: kind 0 is a word hash that the block has with its training count, kind 1 a packed context and byte."""
+    """What each block has. kind 0: a word hash (key) with its training count n; kind 1: the n packed contexts and bytes of a bucket with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[tuple[np.ndarray, np.ndarray]] = []
         contexts: list[tuple[np.ndarray, np.ndarray]] = []
         block = None
 
-        def out(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            k = len(key)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, kind, dtype=np.int8)), pa.array(np.full(k, block if kind == 0 else -1, dtype=np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))],
-                names=["kind", "block", "key", "n"],
-            )
+        def out() -> Iterator[pa.RecordBatch]:
+            names = ["kind", "block", "bucket", "key", "n", "packed"]
+            if words:
+                key, n = merged_counts(words)
+                k = len(key)
+                fixed = [pa.array(np.zeros(k, dtype=np.int8)), pa.array(np.full(k, block, dtype=np.int32)), pa.nulls(k, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(key.view(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(k, pa.binary())], names=names)
+            if contexts:
+                key, n = merged_counts(contexts)
+                of = bucket_of(key)
+                sort = np.argsort(of, kind="stable")
+                key, n, of = key[sort], n[sort], of[sort]
+                cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+                parts = [(x, y) for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
+                k = len(parts)
+                fixed = [pa.array(np.ones(k, dtype=np.int8)), pa.array(np.full(k, block, dtype=np.int32)), pa.array([int(of[x]) for x, _ in parts], pa.int32()), pa.nulls(k, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array([y - x for x, y in parts], pa.int64()), pa.array([pack(key[x:y], n[x:y]) for x, y in parts], pa.binary())], names=names)
 
         for b in batches:
             of, held, raw = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), b.column(3)
@@ -249,8 +281,8 @@ def learnt(rows: DataFrame, order: int) -> DataFrame:
                 if y == x:
                     continue
                 if words and of[x] != block:
-                    yield out(0, *merged_counts(words))
-                    words = []
+                    yield from out()
+                    words, contexts = [], []
                 block = int(of[x])
                 sizes = [len(raw[i].as_py()) for i in range(x, y)]
                 for lo, hi in in_chunks(sizes, PIECE_BYTES):
@@ -261,20 +293,92 @@ def learnt(rows: DataFrame, order: int) -> DataFrame:
                     order_ = np.argsort(hashes)
                     words.append(merged_counts([(hashes[order_], train[order_])]))
                     words.append((np.array([END], dtype=_U), np.array([int(learns.sum())])))
-                    if taught := [t for t, use in zip(texts, learns, strict=True) if use]:
-                        contexts.append(gram_counts(taught, order))
+                    for use in (True, False):  # what held-out texts alone have counts 0
+                        if some := [t for t, l in zip(texts, learns, strict=True) if l == use]:
+                            keys, n = gram_counts(some, order)
+                            contexts.append((keys, n * int(use)))
                 if len(words) > 16:
                     words = [merged_counts(words)]
                 if sum(len(c[0]) for c in contexts) > 3_000_000:
                     contexts = [merged_counts(contexts)]
-                    if len(contexts[0][0]) > 1_500_000:
-                        yield out(1, *contexts.pop())
-        if words:
-            yield out(0, *merged_counts(words))
-        if contexts:
-            yield out(1, *merged_counts(contexts))
+        yield from out()
+
+    return rows.mapInArrow(run, "kind byte, block int, bucket int, key long, n long, packed binary")
+
+
+def summed(packed: DataFrame) -> DataFrame:
+    """bucket, key, n: the training counts over all blocks; 0 where only held-out documents have the context and byte. packed: bucket, n, packed."""
+
+    def run(part: pa.Table) -> pa.Table:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for data, n in zip(part.column("packed"), part.column("n").to_pylist(), strict=True):
+            parts.append(unpack(data.as_py(), n))
+            if len(parts) > 1 and sum(len(p[0]) for p in parts[1:]) > max(1_000_000, len(parts[0][0])):
+                parts = [merged_counts(parts)]
+        keys, n = merged_counts(parts)
+        return pa.table({"bucket": pa.array(np.full(len(keys), part.column("bucket")[0].as_py(), dtype=np.int32)), "key": pa.array(keys.view(np.int64)), "n": pa.array(n)})
+
+    return packed.groupBy("bucket").applyInArrow(run, "bucket int, key long, n long")
+
+
+def _suffix(k: int) -> Column:
+    """The key within contexts of k bytes."""
+    return F.col("key").bitwiseAND((1 << (8 * (k + 1))) - 1)
+
+
+def coded_lengths(contexts: DataFrame, order: int = ORDER) -> DataFrame:
+    """bucket, key, v: log10 of the probability of each key's byte after its context (staged). contexts: bucket, key, n (staged); n is 0 for what training does not have."""
+    seen = contexts.filter("n > 0")
+    same = Window.partitionBy("bucket", F.shiftright("key", 8))
+    given = seen.select("bucket", "key", F.log10(F.col("n") / (F.sum("n").over(same) + F.count("*").over(same))).alias("v"))
+    levels = [seen.select("key", "n")]
+    for k in range(order - 1, -1, -1):
+        levels.insert(0, staged(levels[0].groupBy(_suffix(k).alias("key")).agg(F.sum("n").alias("n")), "ppm-level"))
+    # of each context: the sum and number of its counts, and what exclusion takes from the next shorter context
+    nodes = []
+    for k, x in enumerate(levels):
+        if k:
+            below = small(levels[k - 1]).select(F.col("key").alias("sub"), F.col("n").alias("below"))
+            x = x.withColumn("sub", _suffix(k - 1)).join(below, "sub")
+        else:
+            x = x.withColumn("below", F.lit(0))
+        sums = [F.sum("n").cast("double").alias("total"), F.count("*").cast("double").alias("kinds"), F.sum("below").cast("double").alias("ruled_out")]
+        nodes.append(staged(x.groupBy(F.shiftright("key", 8).alias("context")).agg(*sums), "ppm-nodes"))
+    zero = F.lit(0.0)
+    open_ = contexts.filter("n = 0").select("bucket", "key", zero.alias("v"), zero.alias("gone"), zero.alias("gone_kinds"), F.lit(False).alias("done"))
+    for k in range(order, -1, -1):
+        open_ = open_.withColumn("context", F.shiftright(_suffix(k), 8)).join(small(nodes[k]), "context", "left")
+        if k < order:
+            entry = small(levels[k]).select(F.col("key").alias("sub"), F.col("n").cast("double").alias("m"))
+            open_ = open_.withColumn("sub", _suffix(k)).join(entry, "sub", "left")
+        else:
+            open_ = open_.withColumn("m", F.lit(None).cast("double"))
+        new = F.col("kinds") - F.col("gone_kinds")
+        bottom = F.col("total") - F.col("gone") + new
+        asks = ~F.col("done") & F.coalesce(new > 0, F.lit(False))
+        found = asks & F.col("m").isNotNull()
+        step = F.when(found, F.log10(F.try_divide("m", bottom))).when(asks, F.log10(F.try_divide(new, bottom))).otherwise(0.0)
+        # what the next shorter context must leave out: all that this one has seen
+        open_ = open_.select(
+            "bucket", "key", (F.col("v") + step).alias("v"), F.coalesce("ruled_out", "gone").alias("gone"), F.coalesce("kinds", "gone_kinds").alias("gone_kinds"), (F.col("done") | found).alias("done")
+        )
+    rest = F.when(F.col("done"), 0.0).otherwise(F.log10(F.greatest(256 - F.col("gone_kinds"), F.lit(1.0))))
+    out = staged(given.unionByName(open_.select("bucket", "key", (F.col("v") - rest).alias("v"))), "ppm-lengths")
+    discard(*levels[:-1], *nodes)
+    return out
+
+
+def block_lengths(packed: DataFrame, lengths: DataFrame) -> DataFrame:
+    """block, n, packed, v: the coded lengths, as packed doubles, of the keys of each block and bucket."""
 
-    return rows.mapInArrow(run, "kind byte, block int, key long, n long")
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, v = right.column("key").to_numpy().view(_U), right.column("v").to_numpy()
+        sort = np.argsort(keys)
+        keys, v = keys[sort], v[sort]
+        got = [v[np.searchsorted(keys, unpack(d.as_py(), n)[0])].tobytes() for d, n in zip(left.column("packed"), left.column("n").to_pylist(), strict=True)]
+        return pa.table({"block": left.column("block"), "n": left.column("n"), "packed": left.column("packed"), "v": pa.array(got, pa.binary())})
+
+    return packed.groupBy("bucket").cogroup(lengths.groupBy("bucket")).applyInArrow(run, "block int, n long, packed binary, v binary")
 
 
 def shortened(keys: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -305,17 +409,6 @@ def trie_entries(counts: DataFrame, order: int, limit: int = MAX_ENTRIES) -> lis
     return entries
 
 
-_packed: dict[str, PackedTrie] = {}
-
-
-def packed(key: str, entries: Broadcast) -> PackedTrie:
-    """The trie of broadcast entries, built once in a worker: the entries are several times smaller, so neither the driver nor the network carries its tables."""
-    if key not in _packed:
-        _packed.clear()
-        _packed[key] = PackedTrie(entries.value)
-    return _packed[key]
-
-
 def scored(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
@@ -325,17 +418,24 @@ def scored(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES)
     words = staged(got.filter("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0"), "ppm-words")
     total, distinct = words.agg(F.sum("n"), F.count("*")).first()
     total, distinct = total or 0, distinct or 0
-    contexts = staged(got.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "ppm-contexts")
-    own = staged(got.filter("kind = 0").select("block", "key").join(words, "key").select("block", "key", "n"), "ppm-block-words")
-    discard(got, words)
-    entries, model = spark.sparkContext.broadcast(trie_entries(contexts, order)), uuid.uuid4().hex
+    packed = got.filter("kind = 1").select("block", "bucket", "n", "packed")
+    contexts = staged(summed(packed), "ppm-contexts")
+    lengths = coded_lengths(contexts, order)
     discard(contexts)
+    own = got.filter("kind = 0").select("block", "key").join(words, "key").select("block", "key", "n", F.lit(None).cast("binary").alias("packed"), F.lit(None).cast("binary").alias("v"))
+    both = block_lengths(packed, lengths).select("block", F.lit(None).cast("long").alias("key"), "n", "packed", "v")
+    own = own.unionByName(both)
     unseen, bottom = 0.5 / (total + 0.5 * (distinct + 1)), total + 0.5 * (distinct + 1)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        packs = right.filter(pc.is_valid(right.column("packed")))
+        right = right.filter(pc.is_null(right.column("packed")))
         hashes = right.column("key").to_numpy().view(_U) if right.num_rows else np.zeros(0, dtype=_U)
         sort = np.argsort(hashes)
         hashes, counts = hashes[sort], (right.column("n").to_numpy()[sort] if right.num_rows else np.zeros(0, dtype=np.int64))
+        grams_ = np.concatenate([unpack(d.as_py(), n)[0] for d, n in zip(packs.column("packed"), packs.column("n").to_pylist(), strict=True)])
+        lengths = HashTable(grams_, np.concatenate([np.frombuffer(d.as_py()) for d in packs.column("v")]))
+        del packs, grams_
         logs = np.log10((counts + 0.5) / bottom)
 
         def look(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -359,7 +459,8 @@ def scored(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES)
             n_tokens += (np.diff(bounds) + 1).tolist()
             n_known += (np.diff(hits[bounds]) + int(end_known)).tolist()
             base += (np.diff(sums[bounds]) + end).tolist()
-            score += packed(model, entries).score(texts).tolist()
+            data, at, first = joined(texts, order)
+            score += np.add.reduceat(lengths.values[lengths.find(grams(data, at, order))], first[:-1]).tolist()
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
             "train_tokens": pa.array([total] * len(raw), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()),

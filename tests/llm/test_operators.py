@@ -337,6 +337,19 @@ def test_pruned_trie_scores(spark):
     assert ppm.PackedTrie(ppm.trie_entries(counts, 3, limit=60)).score([b"the cat"])[0] < 0
 
 
+def test_ppm_drops_no_count(spark, monkeypatch):
+    monkeypatch.setattr(ppm.trie_entries, "__defaults__", (60,))
+    rows = [(i, f"the {w} sat on the {v}, and {w} {i} saw it") for i, (w, v) in enumerate([("cat", "mat"), ("dog", "log"), ("zebra", "quilt"), ("owl", "yew")] * 4)]
+    trie = ppm.Trie()
+    for i, t in rows:
+        if crc(i) % 5 != 1:
+            trie.learn(t.encode())
+    got = {r["doc_id"]: r for r in ppm.scored(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=200).collect()}
+    assert len({r["held_out"] for r in got.values()}) == 2
+    for i, t in rows:
+        assert math.isclose(got[i]["score"], trie.score(t.encode()), rel_tol=1e-9)
+
+
 def brute_chunks(docs):
     md5 = lambda b: hashlib.md5(b).hexdigest()
     out = []
