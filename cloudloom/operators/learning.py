@@ -283,27 +283,36 @@ def block_grabcut(img: np.ndarray, trimap: np.ndarray, rows: int = 5, cols: int
     return out
 
 
-def dense_crf(img: np.ndarray, prob: np.ndarray, rounds: int = 5, reach: int = 4, place: float = 3.0, colour: float = 13.0, wide: float = 8.0, w1: float = 3.0, w2: float = 5.0) -> np.ndarray:
-    """Mean-field steps with a Gaussian and a bilateral kernel over a window. prob: (h, w, labels)."""
-    unary = -np.log(np.clip(prob, 1e-9, 1))
-    q = prob / prob.sum(2, keepdims=True)
-    h, w = prob.shape[:2]
-    pi = np.pad(img.astype(float), ((reach, reach), (reach, reach), (0, 0)), mode="edge")
+def dense_crf(img: np.ndarray, prob: np.ndarray, rounds: int = 5, place: float = 3.0, colour: float = 13.0, wide: float = 80.0, w1: float = 3.0, w2: float = 10.0, chunk: int = 1 << 21) -> np.ndarray:
+    """Mean-field steps with a Gaussian and a bilateral kernel over all pairs of pixels, normalised symmetrically. prob: (h, w, labels).
+
+    As in the usual implementation a pixel counts as its own neighbour. Time grows with the square of the pixels; `chunk` pairs are held at once.
+    """
+    h, w, labels = prob.shape
+    n = h * w
+    unary = -np.log(np.clip(prob, 1e-9, 1)).reshape(n, labels)
+    rows, cols = (np.exp(-((np.arange(m)[:, None] - np.arange(m)) ** 2) / (2 * place * place)) for m in (h, w))
+    at = np.indices((h, w)).reshape(2, n).T / wide
+    f = np.concatenate((at, img.reshape(n, -1) / colour), 1)
+    f = f - f.mean(0)
+    sq = (f * f).sum(1)
+    step = max(1, chunk // n)
+
+    def gaussian(q: np.ndarray) -> np.ndarray:
+        return np.einsum("ab,bcl,dc->adl", rows, q.reshape(h, w, -1), cols, optimize=True).reshape(n, -1)
+
+    def bilateral(q: np.ndarray) -> np.ndarray:
+        parts = (np.exp(-np.maximum(sq[i : i + step, None] + sq - 2 * f[i : i + step] @ f.T, 0) / 2) @ q for i in range(0, n, step))
+        return np.concatenate(list(parts))
+
+    kernels = [(k, weight, 1 / np.sqrt(k(np.ones((n, 1))))) for k, weight in ((gaussian, w1), (bilateral, w2))]
+    q = np.exp(-unary)
+    q /= q.sum(1, keepdims=True)
     for _ in range(rounds):
-        pq = np.pad(q, ((reach, reach), (reach, reach), (0, 0)))
-        m = np.zeros_like(q)
-        for i in range(2 * reach + 1):
-            for j in range(2 * reach + 1):
-                if i == reach and j == reach:
-                    continue
-                r2 = (i - reach) ** 2 + (j - reach) ** 2
-                d = ((pi[i : i + h, j : j + w] - img) ** 2).sum(2)
-                k = w1 * np.exp(-r2 / (2 * place * place)) + w2 * np.exp(-r2 / (2 * wide * wide) - d / (2 * colour * colour))
-                m += k[..., None] * pq[i : i + h, j : j + w]
-        e = -unary + m / (w1 + w2)
-        q = np.exp(e - e.max(2, keepdims=True))
-        q /= q.sum(2, keepdims=True)
-    return q
+        e = sum(weight * norm * k(norm * q) for k, weight, norm in kernels) - unary
+        q = np.exp(e - e.max(1, keepdims=True))
+        q /= q.sum(1, keepdims=True)
+    return q.reshape(h, w, labels)
 
 
 def hog(img: np.ndarray, cell: int = 8, bins: int = 9) -> np.ndarray:

@@ -283,7 +283,7 @@ def i19(spark, sf):
 
 @query("I20_dense_crf")
 def i20(spark, sf):
-    return rounded(_by_image(prob(spark), lambda a: L.dense_crf(a[..., :1], np.stack((np.clip(a[..., 1], 0.05, 0.95), 1 - np.clip(a[..., 1], 0.05, 0.95)), 2), reach=2), ["value", "p"], DOUBLE), 5)
+    return rounded(_by_image(prob(spark), lambda a: L.dense_crf(a[..., :1], np.stack((np.clip(a[..., 1], 0.05, 0.95), 1 - np.clip(a[..., 1], 0.05, 0.95)), 2)), ["value", "p"], DOUBLE), 5)
 
 
 @query("I21_pose_clusters")

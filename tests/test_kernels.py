@@ -119,6 +119,28 @@ def test_grabcut_and_crf_recover_a_square():
     assert (L.dense_crf(img, np.stack((p, 1 - p), 2))[..., 0] > 0.5)[7:13, 7:13].all()
 
 
+def test_crf_is_fully_connected():
+    rng = np.random.default_rng(1)
+    img, p = rng.integers(0, 40, (6, 30, 1)).astype(float), rng.uniform(0.2, 0.8, (6, 30))
+    prob = np.stack((p, 1 - p), 2)
+    at = np.indices((6, 30)).reshape(2, -1).T.astype(float)
+    d2, c2 = ((at[:, None] - at) ** 2).sum(2), (img.reshape(-1, 1) - img.reshape(1, -1)) ** 2
+    total = 0
+    for weight, k in ((3, np.exp(-d2 / 18)), (10, np.exp(-d2 / (2 * 80**2) - c2 / (2 * 13**2)))):
+        total = total + weight * k / np.sqrt(k.sum(0)[:, None] * k.sum(0))
+    q = prob.reshape(-1, 2)
+    for _ in range(5):
+        q = prob.reshape(-1, 2) * np.exp(total @ q)
+        q /= q.sum(1, keepdims=True)
+    assert np.allclose(L.dense_crf(img, prob, chunk=1000).reshape(-1, 2), q, atol=1e-9)
+    # two pixels of one colour, far from each other, pull on each other
+    img = np.arange(40.0).reshape(1, 40, 1) * 100
+    img[0, 39] = 0
+    prob = np.full((1, 40, 2), 0.5)
+    prob[0, 39] = 0.99, 0.01
+    assert L.dense_crf(img, prob)[0, 0, 0] > 0.9
+
+
 def test_superpixels_cover_the_image():
     img = np.random.default_rng(0).uniform(0, 255, (24, 24, 1))
     s = L.slic(img, 16)
