@@ -350,6 +350,13 @@ def t1(spark, sf):
     return top.select("idx", F.row_number().over(Window.orderBy("d", "idx")).cast("long").alias("pos"))
 
 
+@query("T1_sort_all_by_distance", "SELECT idx, row_number() OVER (ORDER BY round(x * x + y * y + z * z, 9), idx) AS pos FROM cloud", "cloud")
+def t1_all(spark, sf):
+    """The position of every row, by range partitions and their offsets."""
+    d = cloud(spark, sf).select(F.col("idx").alias("point"), F.round(G.dot(G.points(), G.points()), 9).alias("d"))
+    return C.reindexed(d, ["d", "point"]).select(F.col("point").alias("idx"), (F.col("idx") + 1).alias("pos"))
+
+
 @query("T2_largest_weights", "SELECT o_orderkey AS idx, o_totalprice AS w FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
 def t2(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_totalprice").alias("w")).orderBy(F.desc("w"), "idx").limit(50)

@@ -47,3 +47,9 @@ def test_entry_contract(spark):
 
     assert e.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sort_keeps_every_row(spark):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    pos = [r["pos"] for r in catalog.QUERIES["T1_sort_all_by_distance"](spark, SF).collect()]
+    assert n > 100 and sorted(pos) == list(range(1, n + 1))
