@@ -288,8 +288,8 @@ def i20(spark, sf):
 
 @query("I21_pose_clusters")
 def i21(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(16)))
-    out, score = L.clustered(e, [f"v{i}" for i in range(16)], 11)
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(64)))
+    out, score = L.clustered(e, [f"v{i}" for i in range(64)], 11)
     return out.groupBy("cluster").agg(F.count("*").alias("n"), F.lit(round(score, 6)).alias("silhouette"))
 
 
