@@ -23,6 +23,8 @@ BOILERPLATE = (
     "lorem ipsum", "javascript", "cookie policy", "use cookies", "terms of use", "terms of service", "privacy policy",
     "all rights reserved", "click here", "read more", "sign in", "log in", "subscribe now", "share this", "skip to content",
 )
+#: A line of more words that holds such a phrase is prose and stays.
+BOILER_WORDS = 20
 #: A line needs this many separators to count as navigation.
 NAV_MARKS = 3
 #: A line of so few words without an end mark is a heading or menu entry. Longer ones may be prose without punctuation and stay.
@@ -32,7 +34,7 @@ SYMBOL_SHARE = 0.2
 #: Share of a document's word characters that may be removed before it is rejected.
 MAX_LOSS = 0.5
 
-_BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)), re.I)
+_BOILER = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, BOILERPLATE))})(?!\w)", re.I)
 _MARKS = re.compile(r"[|»›•>]|&gt;")
 _SYMBOLS = b"#*$%&|<>"
 _SYMBOL_SET = frozenset("#*$%&|<>")
@@ -51,7 +53,7 @@ def line_fails(line: str) -> str | None:
         return "symbols"
     if s.count("!") >= 4 and not _LOWER.search(s):
         return "shouting"
-    if _BOILER.search(s):
+    if _BOILER.search(s) and len(s.split()) <= BOILER_WORDS:
         return "boilerplate"
     if not _END.search(s) and len(s.encode("utf-8", "surrogatepass").split()) <= MENU_WORDS:
         return "punctuation"
@@ -153,6 +155,7 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+# finds the phrases anywhere in a line: the same rows as long as no long line or longer word holds one
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, r, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),

@@ -301,6 +301,14 @@ def test_line_rules():
     assert text == "good line here.\n\nmore text." and 0 < lost < total
 
 
+def test_boilerplate_is_whole_words_in_short_lines():
+    for line in ("The design in oak is old.", "A catalog in print helps.", "They spread more butter."):
+        assert quality.line_fails(line) is None
+    assert quality.line_fails("Please sign in, or log in.") == "boilerplate"
+    prose = " ".join(["The sentence goes on for a while."] * 10) + " We read more. " + " ".join(["It ends."] * 10)
+    assert quality.clean_text(prose)[::2] == (prose, 0)
+
+
 def test_ppm_scores(spark, sf, docs):
     trie, c = ppm.Trie(), collections.Counter()
     low = lambda t: (t or "").encode().translate(LOWER).split()
