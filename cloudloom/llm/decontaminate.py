@@ -4,8 +4,8 @@
 2. The training frequency of every window term is counted over all documents.
 3. The positions of each window's two rarest terms are stored as postings (term, document, position); postings of
    a lead (rarest) term also keep the words around it.
-4. Lists are intersected from the rarest term on: lead positions minus the lead's offset give window starts, the
-   second list, adjusted by its own offset, must hold the same start, and the words around the lead settle the rest.
+4. Lead positions minus the lead's offset give window starts, and the words around the lead are compared with the whole
+   window. The second list, adjusted by its own offset, is asked last; it removes nothing that this comparison has left.
 
 Common words are never posted unless a window consists of nothing rarer, and no pair of documents is formed, so the
 work is linear in the text. A third of all rows holding one passage adds its matches only.
