@@ -12,7 +12,8 @@ dropped after counting anchors, before any text moves. Equal stretches are merge
 distinct stretches than HOT_STRETCHES is not gathered: its suffixes are grouped one by one over the cluster.
 
 Null and empty texts have no bytes. Rows equal in doc_id and text are separate places and are both cut. Matches never
-cross documents. An empty table gives no rows. Extra columns are ignored.
+cross documents. Very long texts are worked on whole, alone in their chunk. Of equal hashes in a string the leftmost is the anchor. An empty
+table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ ANCHOR = 50
 HOT_STRETCHES = 20_000
 #: Suffixes sorted at once.
 SORT_ROWS = 120_000
+#: Anchors are ordered by the other bits of their hashes; these hold the place in a chunk, which is below 2**31.
+ORDER_BITS = 32
 
 _U = np.uint64
 
@@ -53,7 +56,7 @@ def stretches(texts: list[bytes], length: int, anchor: int) -> tuple[np.ndarray,
     sums = prefix_sums(data)
     at = np.arange(n_keys, dtype=np.int64)
     full = span_hashes(sums, at, at + anchor)
-    bits = _U(max(1, int(len(data)).bit_length()))
+    bits = _U(ORDER_BITS)  # the same in every chunk, or equal strings could get different anchors
     low = (full & ~((_U(1) << bits) - _U(1))) | at.astype(_U)  # ties fall to the leftmost
     width, done = length - anchor + 1, 1
     while done < width:  # running minimum over `width` keys by doubling
