@@ -8,7 +8,7 @@ Counting goes by hash with partial sums; chunk texts move only where the hash re
 hold costs one comparison row for each task, and its occurrences are joined, never gathered.
 
 Null and empty texts are one empty line, one chunk, never removed. Rows equal in doc_id and text stand or fall together:
-they count as one document. An empty table gives no rows.
+they count as one document. Very long texts are cut whole. An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,7 +49,8 @@ def removed_chunks(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     often = staged(c.groupBy("ch").agg(F.count("*").alias("n")).filter("n > 1").select("ch"), "often-chunks")
     again = staged(c.join(small(often), "ch", "left_semi"), "again-chunks")
     first = again.groupBy("ch", "body").agg(F.min(F.struct("did", "th", "chunk")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    pairs = again.join(first.select("ch", F.col("body").alias("first_body"), "first"), "ch").filter(F.col("body") == F.col("first_body"))
+    first = small(staged(first.select("ch", F.col("body").alias("first_body"), "first"), "first-chunks"))  # a chunk of a third of all rows is not one task's
+    pairs = again.join(first, "ch").filter(F.col("body") == F.col("first_body"))
     return pairs.filter(F.struct("did", "th", "chunk") != F.col("first")).select("did", "th", "chunk", "n_lines").distinct()
 
 
