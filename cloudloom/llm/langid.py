@@ -5,9 +5,11 @@ strongest answer and softmax gives the languages. All windows of a text count, b
 embedding and filters are folded into tables over byte pairs, so a window costs a few gathers per byte. Texts stream
 through one Arrow map; nothing is shuffled and the model (some MB, whatever the input) is broadcast.
 
-The network is fitted on a bounded sample of labelled rows: SAMPLE_PER_LANG rows of each language with the lowest md5 of
-doc_id, WINDOWS_PER_DOC windows each. Null texts and texts without a letter are `und` with score 0. A table without labels
-predicts `und` for all. Repeated rows get equal answers.
+The network is fitted on a bounded sample of labelled rows: SAMPLE_PER_LANG rows of each language (fewer of each, but of every one, where
+languages times that exceed SAMPLE_ROWS) with the lowest md5 of doc_id, then text; WINDOWS_PER_DOC windows each. Null texts and texts
+without a letter are `und` with score 0. A table without labels predicts `und` for all, an empty one gives no rows. Of languages with equal
+probability the first by name is taken. Repeated rows get equal answers. Very long texts are read whole, in pieces of bounded size. Extra columns
+are carried by `identify`; its own lang_pred and score replace columns of these names.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_chunks, table
 
-#: Bounds of the training sample: rows of a language, windows of a row, languages.
-SAMPLE_PER_LANG, WINDOWS_PER_DOC, MAX_LANGS = 500, 4, 400
+#: Bounds of the training sample: rows of a language, rows in all, windows of a row.
+SAMPLE_PER_LANG, SAMPLE_ROWS, WINDOWS_PER_DOC = 500, 200_000, 4
 WINDOW = 256
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 8, 8
 STEPS, BATCH, RATE = 500, 96, 0.01
@@ -147,23 +150,24 @@ def predict(model: dict | None, texts: list[str | None]) -> tuple[list[str], lis
 
 def train(labelled: DataFrame) -> dict | None:
     """Fit on the bounded sample of labelled (doc_id, text, lang) and return the folded tables; None without labels."""
-    rows = labelled.filter("text is not null and lang is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
+    rows = labelled.filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
+    by_lang = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    n_langs = by_lang.count()
+    if not n_langs:
         return None
-    # twice the wanted share by a hash of doc_id, then the lowest hashes: bounded whatever the table's size
+    each = max(1, min(SAMPLE_PER_LANG, SAMPLE_ROWS // n_langs))
+    # twice the wanted share by a hash of doc_id, then each language's lowest hashes: bounded whatever the table's size
     h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * SAMPLE_PER_LANG / r["n"])))))
     cut_chars = WINDOW * WINDOWS_PER_DOC
     offset = (h * F.greatest(F.length("text") - cut_chars, F.lit(0)) + 1).cast("int")
-    sample = rows.filter(h <= share[F.col("lang")]).select("lang", h.alias("h"), F.substring(F.col("text"), offset, F.lit(cut_chars)).alias("text"))
-    got = sample.orderBy("h", "lang", "text").limit(2 * SAMPLE_PER_LANG * len(counts)).collect()
+    share = by_lang.select("lang", (2 * each / F.col("n")).alias("share"))
+    sample = rows.select("lang", h.alias("h"), F.substring(F.col("text"), offset, F.lit(cut_chars)).alias("text")).join(F.broadcast(share) if n_langs <= SAMPLE_ROWS else share, "lang").filter("h <= share")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    got = sample.withColumn("nth", first).filter(F.col("nth") <= each).select("lang", "h", "text").orderBy("lang", "h", "text").collect()
     langs = sorted({r["lang"] for r in got})
     x, y = [], []
-    used = dict.fromkeys(langs, 0)
     for r in got:
-        if used[r["lang"]] < SAMPLE_PER_LANG and _LETTER.search(r["text"]):
-            used[r["lang"]] += 1
+        if _LETTER.search(r["text"]):
             part = cut(r["text"].encode())[:WINDOWS_PER_DOC]
             x.append(part)
             y += [langs.index(r["lang"])] * len(part)
@@ -178,15 +182,16 @@ def train(labelled: DataFrame) -> dict | None:
 def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """docs with lang_pred and score; only text is read for the prediction."""
     model = docs.sparkSession.sparkContext.broadcast(train(labelled))
-    names = docs.columns
-    at = names.index("text")
+    given = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
+    docs = docs.select(*given, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = predict(model.value, b.column(at).to_pylist())
-            arrays = [c for i, c in enumerate(b.columns) if i != at]
-            kept = [n for i, n in enumerate(b.schema.names) if i != at]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+            sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()
+            for lo, hi in in_chunks(sizes):
+                part = b.slice(lo, hi - lo)
+                langs, scores = predict(model.value, part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*given, "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "lang_pred string", "score double"])
     return docs.mapInArrow(run, schema)
