@@ -4,7 +4,8 @@ Every line is judged on its own (navigation, boilerplate, punctuation rules), fa
 that loses too much of its text is rejected. Rows stream through one Arrow map: no shuffle, memory bounded by a batch.
 
 Null and empty texts have no words, so all counts are 0 and they fail the base rule. Repeated rows are judged one by
-one. Extra columns are carried by `clean_lines` and ignored by `op8_line_quality`.
+one. Very long texts are judged whole; a text at the limits (50 words, half of the words repeated, MAX_LOSS lost) passes. An empty table gives no rows.
+Extra columns, whatever their names, are carried by `clean_lines` and ignored by `op8_line_quality`.
 """
 
 from __future__ import annotations
@@ -18,17 +19,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-#: Phrases that mark a boilerplate line.
+#: Phrases that mark a boilerplate line, in English, German, French, Spanish, Italian and Portuguese.
 BOILERPLATE = (
     "lorem ipsum", "javascript", "cookie policy", "use cookies", "terms of use", "terms of service", "privacy policy",
     "all rights reserved", "click here", "read more", "sign in", "log in", "subscribe now", "share this", "skip to content",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "verwenden cookies", "cookie-richtlinie", "hier klicken", "weiterlesen", "jetzt anmelden",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies", "utilisons des cookies", "cliquez ici", "lire la suite", "se connecter",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "utiliza cookies", "utilizamos cookies", "usamos cookies", "haga clic aquí", "leer más", "iniciar sesión",
+    "tutti i diritti riservati", "informativa sulla privacy", "utilizza cookie", "clicca qui", "leggi tutto",
+    "todos os direitos reservados", "política de privacidade", "termos de uso", "clique aqui", "leia mais",
 )
 #: A line of more words that holds such a phrase is prose and stays.
 BOILER_WORDS = 20
 #: A line needs this many separators to count as navigation.
 NAV_MARKS = 3
 #: A line of so few words without an end mark is a heading or menu entry. Longer ones may be prose without punctuation and stay.
-MENU_WORDS = 6
+#: In scripts that put no spaces between words, UNSPACED_CHARS characters count as a word.
+MENU_WORDS, UNSPACED_CHARS = 6, 2
+#: Thai to Lao, Burmese, Khmer, kana, and Chinese characters.
+UNSPACED = "[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF]"
+#: Marks that end a sentence or clause, and what may follow them.
+END_MARKS, CLOSERS = ".!?:;,…。！？、，；：؟؛،۔।॥።", "\"'”’»)\\]」』）"
 #: Share of symbol characters in a line's word characters from which the line is junk.
 SYMBOL_SHARE = 0.2
 #: Share of a document's word characters that may be removed before it is rejected.
@@ -40,7 +51,8 @@ _SYMBOLS = b"#*$%&|<>"
 _SYMBOL_SET = frozenset("#*$%&|<>")
 _WHITE = b" \t\n\x0b\x0c\r"
 _LOWER = re.compile("[a-z]")
-_END = re.compile(r"""[.!?:;,…。！？]["'”’»)\]]*$""")
+_END = re.compile(f"[{END_MARKS}][{CLOSERS}]*$")
+_UNSPACED = re.compile(UNSPACED)
 
 
 def line_fails(line: str) -> str | None:
@@ -53,9 +65,10 @@ def line_fails(line: str) -> str | None:
         return "symbols"
     if s.count("!") >= 4 and not _LOWER.search(s):
         return "shouting"
-    if _BOILER.search(s) and len(s.split()) <= BOILER_WORDS:
+    words = len(s.encode("utf-8", "surrogatepass").split())
+    if words <= BOILER_WORDS and _BOILER.search(s):
         return "boilerplate"
-    if not _END.search(s) and len(s.encode("utf-8", "surrogatepass").split()) <= MENU_WORDS:
+    if words <= MENU_WORDS and words + (0 if s.isascii() else len(_UNSPACED.findall(s)) // UNSPACED_CHARS) <= MENU_WORDS and not _END.search(s):
         return "punctuation"
     return None
 
@@ -155,7 +168,6 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
-# finds the phrases anywhere in a line: the same rows as long as no long line or longer word holds one
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, r, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
@@ -167,9 +179,9 @@ s AS (SELECT r, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$'
 f AS (
   SELECT r, line, n, n > 0 AND (
     len(regexp_extract_all(s, '[|»›•>]|&gt;')) >= 3 OR len(regexp_extract_all(s, '[#*$%&|<>]')) > 0.2 * n
-    OR (len(regexp_extract_all(s, '!')) >= 4 AND NOT regexp_matches(s, '[a-z]')) OR regexp_matches(s, '(?i)BOILER')
-    OR (NOT regexp_matches(s, '[.!?:;,…。！？]["''”’»)\]]*$') AND len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) <= 6)) AS fails
-  FROM s),
+    OR (len(regexp_extract_all(s, '!')) >= 4 AND NOT regexp_matches(s, '[a-z]')) OR (regexp_matches(s, '(?i)(^|[^\p{L}\p{N}_])(BOILER)([^\p{L}\p{N}_]|$)') AND words <= 20)
+    OR (NOT regexp_matches(s, '[ENDS][CLOSERS]*$') AND words + len(regexp_extract_all(s, 'UNSPACED')) // 2 <= 6)) AS fails
+  FROM (SELECT *, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS words FROM s)),
 c AS (SELECT r, sum(n) AS total, sum(CASE WHEN fails THEN n ELSE 0 END) AS lost, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS dup FROM f GROUP BY r),
 j AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(total AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
@@ -178,4 +190,4 @@ j AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND removed_chars <= 0.5 * word_chars AS kept, removed_chars
 FROM j
-""".replace("BOILER", "|".join(BOILERPLATE))
+""".replace("BOILER", "|".join(BOILERPLATE).replace("'", "''")).replace("ENDS", END_MARKS).replace("CLOSERS", CLOSERS.replace("'", "''")).replace("UNSPACED", UNSPACED)
