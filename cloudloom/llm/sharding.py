@@ -3,10 +3,16 @@
 The whole table is one node that must hold n shards; a node of k > 1 shards is split along its widest metadata
 dimension at the weighted quantile of its bytes (the median where k is even) until every leaf holds one shard's bytes. The quantile is found
 by distributed histograms: bytes by node and bin, then only the bin where the half ends is refined. The driver sees
-nodes times bins, never rows. The dimensions are functions of the text, so equal texts stay in one shard, unless a group
-of copies outweighs the tolerance: then it is split by a hash of the row.
+nodes times bins, never rows.
 
-Null texts have size 1 and digest 0. Repeated rows are separate rows. An empty table gives no rows.
+The dimensions (bytes, lines, digest) are functions of the text, so equal texts fall on one side of a cut. Where a cut falls inside a group of copies it
+moves to the group's nearer edge, if that moves at most GROUP_TOLERANCE of the bytes that the smaller side is to have; else the next widest dimension is
+tried. So a group of up to twice that share of a shard stays in one shard whatever the data, and a larger one unless it lies across the quantile in
+every dimension; then it is split by a hash of the row, as the law (bytes) asks.
+
+Null texts have size 1, one line and digest 0. Repeated rows are separate rows; ties of all dimensions are copies or share a digest, and are treated as
+copies. A very long text is one row, so its shard exceeds the others by as much. An empty table gives no rows. Extra columns are
+carried only if named.
 """
 
 from __future__ import annotations
@@ -20,14 +26,18 @@ from .common import small, staged, table
 DIM_BITS, STEP_BITS = 32, 8
 #: Share of a shard's bytes by which a split may miss its quantile before the boundary bin is refined further.
 TOLERANCE = 0.002
+#: Share of the smaller side's bytes by which a cut may move to keep a group of copies whole.
+GROUP_TOLERANCE = 0.01
+DIMENSIONS = ["size", "n_lines", "text_crc32"]
 
 
 def described(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, part and rid (row number unique in the table) of every document."""
+    """doc_id, size, n_lines, text_crc32, part and rid (row number unique in the table) of every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     keep = [F.col(c) for c in carry or []]
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("rid"), *keep,
     )
 
@@ -70,8 +80,9 @@ def split_all(rows: DataFrame, dims: list[str], root: Node, open_nodes: list[Nod
     for n in open_nodes:
         r = stats.get(n.first)
         total = r["bytes"] if r else 0
-        d = max(range(len(dims)), key=lambda i: ((r[f"hi_{dims[i]}"] - r[f"lo_{dims[i]}"]) / max(1, spans[dims[i]]) if r else 0, -i))
-        todo[n.first] = {"node": n, "dim": d, "want": total * (n.shards // 2) / n.shards, "slack": tolerance * total / n.shards, "done": (), "value": 0, "bits": 0}
+        widest = sorted(range(len(dims)), key=lambda i: ((r[f"lo_{dims[i]}"] - r[f"hi_{dims[i]}"]) / max(1, spans[dims[i]]) if r else 0, i))
+        want = total * (n.shards // 2) / n.shards
+        todo[n.first] = {"node": n, "dim": widest[0], "next": widest[1:], "half": want, "want": want, "slack": tolerance * total / n.shards, "done": (), "value": 0, "bits": 0}
     steps = DIM_BITS // STEP_BITS
     while todo:
         prefix, bucket = F.lit(False), F.lit(None).cast("long")
@@ -86,13 +97,15 @@ def split_all(rows: DataFrame, dims: list[str], root: Node, open_nodes: list[Nod
             prefix |= same
             bucket = F.when(same, F.shiftright(keys[level], DIM_BITS - s["bits"] - STEP_BITS)).otherwise(bucket)
         found: dict[int, list] = {first: [] for first in todo}
-        for r in rows.filter(prefix).groupBy(at.alias("node"), bucket.alias("bucket")).agg(F.sum("size").alias("bytes")).collect():
-            found[r["node"]].append((r["bucket"], r["bytes"]))
+        ends = [f(x).alias(f"{n}_{x}") for x in dims for n, f in (("lo", F.min), ("hi", F.max))]
+        for r in rows.filter(prefix).groupBy(at.alias("node"), bucket.alias("bucket")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), *ends).collect():
+            one = tuple(min(r[f"lo_{x}"], (1 << DIM_BITS) - 1) for x in dims) if all(r[f"lo_{x}"] == r[f"hi_{x}"] for x in dims) else None
+            found[r["node"]].append((r["bucket"], r["bytes"], one, r["n"]))
         for first, s in list(todo.items()):
             upto, edge = 0, None
-            for b, size in sorted(found[first]):
+            for b, size, one, n_rows in sorted(found[first], key=lambda x: x[0]):
                 if upto + size > s["want"]:
-                    edge = (b, size)
+                    edge = (b, size, one, n_rows)
                     break
                 upto += size
             level, bits = len(s["done"]), s["bits"] + STEP_BITS
@@ -100,13 +113,23 @@ def split_all(rows: DataFrame, dims: list[str], root: Node, open_nodes: list[Nod
                 n = s["node"]
                 cut, over = (*s["done"], (s["value"] + 1) << (DIM_BITS - s["bits"])) if s["bits"] else (*s["done"], 1 << DIM_BITS), True
             else:
-                b, size = edge
+                b, size, one, n_rows = edge
                 left = s["want"] - upto
                 last = level == len(dims) and bits == steps * STEP_BITS
-                whole = level == len(dims) - 1 and bits == steps * STEP_BITS  # a group of copies from here on
-                over = last or min(left, size - left) <= s["slack"] or (whole and size <= 8 * s["slack"])
-                up = b + (1 if size - left < left else 0)
-                cut = (*s["done"], up << (DIM_BITS - bits))
+                moved = min(left, size - left)
+                over = last or moved <= s["slack"]
+                after = size - left < left
+                cut = (*s["done"], (b + after) << (DIM_BITS - bits))
+                if one and not over and level < len(dims):  # what is left is one group of copies, or one row
+                    order = (one[s["dim"]], *(x for i, x in enumerate(one) if i != s["dim"]))
+                    if n_rows == 1 or moved <= GROUP_TOLERANCE * s["half"]:
+                        over, cut = True, (*order[:-1], order[-1] + after)
+                    elif s["next"]:
+                        s.update(dim=s["next"][0], next=s["next"][1:], want=s["half"], done=(), value=0, bits=0)
+                        continue
+                    else:
+                        s.update(want=left, done=order, value=0, bits=0)
+                        continue
                 s["want"] = left
             if over:
                 n = s["node"]
@@ -136,7 +159,7 @@ def with_shards(rows: DataFrame, shards: int) -> DataFrame:
 
     A slot is the rows of the shard in earlier parts plus the rank within the part, so no task holds a whole shard.
     """
-    dims = ["size", "text_crc32"]
+    dims = DIMENSIONS
     placed = rows.withColumn("shard", leaf_index(grow(rows, shards, dims), dims).cast("int"))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
