@@ -3,14 +3,16 @@
 Texts are sets of five-word shingles; texts with equal sets are one class. Each set is embedded into TOKENS minhash tokens, of which
 two sets share a part equal to their Jaccard similarity. At a tree node every set chooses its tokens by a hash of node and
 token, BRANCH of them on average, and goes to a child node for each: similar sets choose shared tokens
-together. Nodes of few sets are searched by brute force over the tokens; larger ones are split again. A
+together. Sets first meet after PATH choices, so that one shared passage seldom joins two texts. Nodes of few sets are searched by brute force over the tokens; larger ones are split again. A
 run misses a pair at the threshold with a known probability, so runs repeat until the target recall.
 
 Candidate links join classes into groups by spanning links only, whose sets are then compared exactly: by one task where the group is
 small, else by one task for each pair of its blocks. No pair leaves a task: it returns each class's count of links and spanning links.
 
 Words are runs without ASCII white space, A-Z lower-cased. A text of fewer than five words, but not none, is one shingle. Null
-and empty texts, and texts of white space, are linked to nothing. Rows equal in doc_id and text count as two documents. An empty table gives no rows.
+and empty texts, and texts of white space, are linked to nothing. Rows equal in doc_id and text count as two documents. Very long texts
+are hashed whole, alone in their chunk. Ties between equal sets go to the least doc_id, then text hash. An empty table gives no rows. Columns of any
+name are ignored by the query; `one_of_each` carries them in a struct, so none can clash.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 TOKENS, BRANCH = 128, 2.0
+#: Tokens chosen before sets meet at a node.
+PATH = 2
 #: Sets of a node up to which it is searched, and levels after which it is searched whatever its size.
 LEAF, DEPTH = 4000, 6
-#: Sets of a root's child above which its members are linked to a pivot first.
+#: Sets of a first node above which its members are linked to a pivot first.
 PIVOTED = 200
 #: Sets that one task compares.
 BLOCK = 800
@@ -105,7 +109,7 @@ def short_tokens(short: np.ndarray) -> np.ndarray:
 
 
 def embedded(docs: DataFrame, runs: int) -> DataFrame:
-    """did, th, k1, k2 (the set's fingerprint), n_sh, short (a byte of each minhash), nodes (children of the runs' roots) of every document with words."""
+    """did, th, k1, k2 (the set's fingerprint), n_sh, short (a byte of each minhash), nodes (those after PATH choices, of all runs) of every document with words."""
     roots = mixed(np.arange(1, runs + 1, dtype=_U) * _U(0xD1342543DE82EF95))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +131,11 @@ def embedded(docs: DataFrame, runs: int) -> DataFrame:
                 tokens = mixed(least + np.arange(TOKENS, dtype=_U))
                 nodes = [[] for _ in full]
                 for root in roots:
-                    row, child = choose(np.full(len(full), root), tokens)
-                    for r, c in zip(row.tolist(), child.view(np.int64).tolist(), strict=True):
+                    row, node = np.arange(len(full)), np.full(len(full), root)
+                    for _ in range(PATH):
+                        at, node = choose(node, tokens[row])
+                        row = row[at]
+                    for r, c in zip(row.tolist(), node.view(np.int64).tolist(), strict=True):
                         nodes[r].append(c)
                 at = lo + full
                 yield pa.RecordBatch.from_arrays(
@@ -231,8 +238,14 @@ def block_pairs(rows: DataFrame, key: str, count: str, block: int) -> DataFrame:
     return rows.withColumn("half", (F.col("mine") > F.col("other")).cast("int")).withColumn("task", F.when(F.col("blocks") == 1, F.col(key)).otherwise(F.xxhash64(key, lo, hi))).drop("blocks", "mine", "other")
 
 
-def to_pivots(nodes: DataFrame, threshold: float) -> DataFrame:
-    """a, b: links of the members of each node to its least member, where they are candidates. nodes: node, cid, short."""
+def at_nodes(level: DataFrame, nodes: DataFrame) -> DataFrame:
+    """level with the columns of nodes (node, n and more; staged), joined by node. Nodes of many rows are few and go to every task if they are small enough, so that no task gets all rows of one."""
+    hot = small(nodes.filter(F.col("n") > PIVOTED))
+    return level.join(hot, "node").unionByName(level.join(nodes.filter(F.col("n") <= PIVOTED), "node"))
+
+
+def to_pivots(members: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links of members to the pivots of their nodes, where they are candidates. members: cid, short, pivot, pivot_short."""
     least = least_equal(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,26 +254,26 @@ def to_pivots(nodes: DataFrame, threshold: float) -> DataFrame:
             keep = pa.array((x == y).sum(1) >= least)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(2).filter(keep)], names=["a", "b"])
 
-    pivots = nodes.groupBy("node").agg(F.min(F.struct("cid", "short")).alias("p")).select("node", F.col("p.cid").alias("pivot"), F.col("p.short").alias("pivot_short"))
-    return nodes.join(pivots, "node").filter("cid <> pivot").select("cid", "short", "pivot", "pivot_short").mapInArrow(run, "a long, b long")
+    return members.select("cid", "short", "pivot", "pivot_short").mapInArrow(run, "a long, b long")
 
 
 def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
     """a, b: links that join all candidate classes. classes: cid, short, nodes (staged).
 
-    Members of large nodes are first linked to the node's pivot. What that joins needs no further search: a node, or child of a node, whose
-    members are all in one component is done. So a large group of near copies is not carried from level to level.
+    Members of large nodes are first linked to the node's least member, its pivot. Each class then carries the component that this puts it in: a node, or
+    child of a node, whose members are all in one component is done. So a large group of near copies is not carried from level to level.
     """
     short = classes.select("cid", "short")
     level = classes.select(F.explode("nodes").alias("node"), "cid")
-    counts = level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-    level = staged(level.join(counts, "node"), "path-roots")
-    found = staged(to_pivots(level.filter(F.col("n") > PIVOTED).select("node", "cid").join(short, "cid"), threshold).distinct(), "path-pivots")
+    crowds = staged(level.groupBy("node").agg(F.count("*").alias("n"), F.min("cid").alias("pivot")).filter(F.col("n") > PIVOTED), "path-crowds")
+    members = at_nodes(level, crowds).filter("cid <> pivot").select("cid", "pivot").distinct()
+    members = members.join(short, "cid").join(small(staged(short.join(crowds.select(F.col("pivot").alias("cid")).distinct(), "cid", "left_semi"), "path-pivots")).toDF("pivot", "pivot_short"), "pivot")
+    found = staged(to_pivots(members, threshold).distinct(), "path-pivot-links")
     roots = staged(components(found), "path-components").select(F.col("node").alias("cid"), "root")
-    level = level.drop("n").join(roots, "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
+    level = classes.select("cid", "nodes").join(roots, "cid", "left").select(F.explode("nodes").alias("node"), "cid", F.coalesce("root", "cid").alias("comp"))
     for depth in range(DEPTH + 1):
-        counts = level.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("node", "n")
-        level = level.join(counts, "node")
+        open_ = staged(level.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("node", "n"), "path-open")
+        level = at_nodes(level, open_)
         if depth == 0:
             level = level.join(short, "cid")
         level = staged(level.select("node", "n", "cid", "comp", "short"), "path-level")
@@ -350,17 +363,21 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without near-duplicates of an earlier one: of each group the least doc_id (then text hash) stays, once. Columns unchanged."""
+    """The documents without near-duplicates of an earlier one: of each group the least doc_id (then text hash) stays, once. Columns unchanged.
+
+    Of rows equal in doc_id and text one stays, that with the least other columns (as JSON); only these rows are shuffled.
+    """
     did, th = key_of_row(docs)
     groups = staged(joined(docs, threshold), "jaccard-groups")
     # the columns travel as a struct, so that no name can clash
-    rows = docs.select(F.struct(*docs.columns).alias("row"), did.alias("did"), th.alias("th"), F.monotonically_increasing_id().alias("no"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), did.alias("did"), th.alias("th"))
     gone = groups.filter("did <> class_id or th <> class_th").select("did", "th")
     stays = rows.join(gone, ["did", "th"], "left_anti")
-    # of equal rows with words the first stays
-    twice = rows.join(groups.select("did", "th"), ["did", "th"], "left_semi").groupBy("did", "th").agg(F.min("no").alias("first"), F.count("*").alias("n")).filter("n > 1").select("did", "th", "first")
-    out = stays.join(small(staged(twice, "jaccard-twice")), ["did", "th"], "left").filter("first is null or first = no")
-    return out.select("row.*")
+    twice = docs.select(did.alias("did"), th.alias("th")).join(groups.select("did", "th"), ["did", "th"], "left_semi").groupBy("did", "th").agg(F.count("*").alias("n")).filter("n > 1").select("did", "th")
+    twice = small(staged(twice, "jaccard-twice"))
+    single = stays.join(twice, ["did", "th"], "left_anti").select("row")
+    one = stays.join(twice, ["did", "th"], "left_semi").groupBy("did", "th").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return single.union(one).select("row.*")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
