@@ -3,19 +3,19 @@
 The context trie holds how often each byte follows each context of up to ORDER bytes. A byte seen in the longest context
 is coded there; else an escape is coded and the next shorter context is asked, without the bytes that longer contexts have
 already ruled out (symbol exclusion). The escape estimate is that of method C: as many escapes as distinct bytes seen. A text is
-coded with an end mark, byte 0, after ORDER such bytes.
+coded with an end mark, byte 0, after ORDER such bytes; a byte 0 in a text is the same symbol.
 
-`Trie` is the plain form; it scores with a pretrained trie or adapts while it reads. `PackedTrie` holds the same counts in hash
-tables, for tries that fit a process; MAX_ENTRIES bounds those only.
+`Trie` is the plain form; it scores with a pretrained trie or adapts while it reads.
 
-The query drops no count, so trie and words grow with the corpus and stay in tables: documents are dealt into blocks, each
+No count is dropped, so trie and words grow with the corpus and stay in tables: documents are dealt into blocks, each
 block's distinct words are joined with their counts and its distinct contexts with their coded lengths, and block, words and contexts
 meet again. Blocks follow a hash of doc_id and text. What a byte costs depends on it and the ORDER bytes before it alone, so it is worked out once
 for each of these that the corpus has: from its context where training has it, else by joins with ever shorter contexts. The
-contexts of a block travel packed, in BUCKETS parts by a hash of the context.
+words and contexts of a block travel packed, in parts (buckets) by a hash; the number of buckets grows with the blocks.
 
-Null texts are empty: their words are the end token alone and their score is that of the end mark. Repeated rows get equal scores. Without training
-documents every token is unseen and each byte has probability 1/256.
+Null texts are empty: their words are the end token alone and their score is that of the end mark. Repeated rows get equal scores. Very long texts
+are learnt and scored whole, alone in their piece; a block is at least one text. An empty table gives no rows. Columns other than doc_id and text are
+ignored, whatever their names. Without training documents every token is unseen and each byte has probability 1/256.
 """
 
 from __future__ import annotations
@@ -26,18 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, in_chunks, small, staged, table, word_hashes
 
 ORDER = 5
-MAX_ENTRIES = 6_000_000
 #: Text bytes of a block, and of the pieces in which counts are taken.
 BLOCK_BYTES, PIECE_BYTES = 12 << 20, 2 << 20
-#: Parts by which the packed contexts of all blocks meet.
-BUCKETS = 256
+#: Parts by which the packed words or contexts of all blocks meet: at least so many, one for so many blocks, and at most so many.
+MIN_BUCKETS, BUCKET_BLOCKS, MAX_BUCKETS = 64, 4, 4096
+#: What is packed.
+WORDS, CONTEXTS = 0, 1
 #: The end token's place in the table of word hashes.
 END = 0
 
@@ -161,66 +161,6 @@ class HashTable:
         return out
 
 
-class PackedTrie:
-    """The trie's counts by context length, with what exclusion takes from the next shorter context worked out beforehand."""
-
-    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]]):
-        """entries: by context length from 0, the sorted keys (context and byte) and their counts."""
-        self.order = order = len(entries) - 1
-        self.levels: list[tuple[HashTable, HashTable]] = []
-        shorter = None
-        for k, (keys, counts) in enumerate(entries):
-            keys, counts = keys.astype(_U), counts.astype(np.float64)
-            context = keys >> _U(8)
-            first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
-            sums = np.add.reduceat(counts, first) if len(first) else counts
-            kinds = np.diff(np.append(first, len(keys)))
-            if shorter is None:
-                ruled_out = np.zeros(len(first))
-            else:
-                below = shorter.values[shorter.find(keys & _U((1 << (8 * k)) - 1))]
-                ruled_out = np.add.reduceat(below, first) if len(first) else below
-            nodes = HashTable(context[first], np.stack([sums, kinds, ruled_out], 1))
-            shorter = HashTable(keys, counts)
-            if k == order:
-                # in the longest context nothing is ruled out, so the coded length is known beforehand
-                where = np.repeat(np.arange(len(first)), kinds)
-                shorter.values = np.log10(counts / (sums + kinds)[where]) if len(keys) else counts
-            self.levels.append((shorter, nodes))
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        data, at, first = joined(texts, self.order)
-        key = grams(data, at, self.order)
-        out = np.zeros(len(key))
-        row = self.levels[self.order][0].find(key)
-        hit = row >= 0
-        out[hit] = self.levels[self.order][0].values[row[hit]]
-        open_ = np.flatnonzero(~hit)
-        k_open = key[open_]
-        gone, gone_kinds = np.zeros(len(open_)), np.zeros(len(open_))
-        for k in range(self.order, -1, -1):
-            entries, nodes = self.levels[k]
-            sub = k_open & _U((1 << (8 * (k + 1))) - 1)
-            node = nodes.find(sub >> _U(8))
-            known = node >= 0
-            info = nodes.values[np.maximum(node, 0)] if len(nodes.values) else np.zeros((len(node), 3))
-            n, new = info[:, 0] - gone, info[:, 1] - gone_kinds
-            asks = known & (new > 0)
-            row = entries.find(sub)
-            found = asks & (row >= 0)
-            if k < self.order:
-                out[open_[found]] += np.log10(entries.values[row[found]] / (n + new)[found])
-            missed = asks & ~found
-            out[open_[missed]] += np.log10(new[missed] / (n + new)[missed])
-            left = ~found
-            # what the next shorter context must leave out: all that this one has seen
-            gone = np.where(known, info[:, 2], gone)[left]
-            gone_kinds = np.where(known, info[:, 1], gone_kinds)[left]
-            open_, k_open = open_[left], k_open[left]
-        out[open_] -= np.log10(np.maximum(256 - gone_kinds, 1))
-        return np.add.reduceat(out, first[:-1]) if len(texts) else np.zeros(0)
-
-
 def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """block, doc_id, held_out, raw of every document, and the number of blocks."""
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -231,9 +171,18 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame,
     return docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), raw.alias("raw")), n
 
 
-def bucket_of(keys: np.ndarray) -> np.ndarray:
-    """The part of each key, by its context."""
-    return (((keys >> _U(8)) * _U(0x9E3779B97F4A7C15)) >> _U(64 - BUCKETS.bit_length() + 1)).astype(np.uint8)
+def buckets_for(blocks: int) -> int:
+    """A power of two."""
+    return min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << (blocks // BUCKET_BLOCKS).bit_length()))
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The part of each hash: its first bits."""
+    return (hashes >> _U(64 - buckets.bit_length() + 1)).astype(np.int32)
+
+
+def context_hashes(keys: np.ndarray) -> np.ndarray:
+    return (keys >> _U(8)) * _U(0x9E3779B97F4A7C15)
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -248,32 +197,27 @@ def unpack(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.ascontiguousarray(planes[8:].T).view(np.uint32).ravel().astype(np.int64)
 
 
-def learnt(rows: DataFrame, order: int) -> DataFrame:
-    """What each block has. kind 0: a word hash (key) with its training count n; kind 1: the n packed contexts and bytes of a bucket with their training counts."""
+def learnt(rows: DataFrame, order: int, buckets: int) -> DataFrame:
+    """kind, block, bucket, n, packed: the n words or contexts (with the byte that follows) of a block and bucket and their training counts."""
+
+    def parts(kind: int, block: int, counted: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, n = merged_counts(counted)
+        of = bucket_of(key if kind == WORDS else context_hashes(key), buckets)
+        sort = np.argsort(of, kind="stable")
+        key, n, of = key[sort], n[sort], of[sort]
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        spans = [(x, y) for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
+        k = len(spans)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(k, kind, dtype=np.int8)), pa.array(np.full(k, block, dtype=np.int32)), pa.array([int(of[x]) for x, _ in spans], pa.int32()),
+             pa.array([y - x for x, y in spans], pa.int64()), pa.array([pack(key[x:y], n[x:y]) for x, y in spans], pa.binary())],
+            names=["kind", "block", "bucket", "n", "packed"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[tuple[np.ndarray, np.ndarray]] = []
         contexts: list[tuple[np.ndarray, np.ndarray]] = []
         block = None
-
-        def out() -> Iterator[pa.RecordBatch]:
-            names = ["kind", "block", "bucket", "key", "n", "packed"]
-            if words:
-                key, n = merged_counts(words)
-                k = len(key)
-                fixed = [pa.array(np.zeros(k, dtype=np.int8)), pa.array(np.full(k, block, dtype=np.int32)), pa.nulls(k, pa.int32())]
-                yield pa.RecordBatch.from_arrays([*fixed, pa.array(key.view(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(k, pa.binary())], names=names)
-            if contexts:
-                key, n = merged_counts(contexts)
-                of = bucket_of(key)
-                sort = np.argsort(of, kind="stable")
-                key, n, of = key[sort], n[sort], of[sort]
-                cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-                parts = [(x, y) for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
-                k = len(parts)
-                fixed = [pa.array(np.ones(k, dtype=np.int8)), pa.array(np.full(k, block, dtype=np.int32)), pa.array([int(of[x]) for x, _ in parts], pa.int32()), pa.nulls(k, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*fixed, pa.array([y - x for x, y in parts], pa.int64()), pa.array([pack(key[x:y], n[x:y]) for x, y in parts], pa.binary())], names=names)
-
         for b in batches:
             of, held, raw = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), b.column(3)
             cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
@@ -281,10 +225,11 @@ def learnt(rows: DataFrame, order: int) -> DataFrame:
                 if y == x:
                     continue
                 if words and of[x] != block:
-                    yield from out()
+                    yield parts(WORDS, block, words)
+                    yield parts(CONTEXTS, block, contexts)
                     words, contexts = [], []
                 block = int(of[x])
-                sizes = [len(raw[i].as_py()) for i in range(x, y)]
+                sizes = [len(raw[i].as_buffer()) for i in range(x, y)]
                 for lo, hi in in_chunks(sizes, PIECE_BYTES):
                     texts = [raw[x + i].as_py() for i in range(lo, hi)]
                     learns = ~held[x + lo : x + hi]
@@ -299,15 +244,17 @@ def learnt(rows: DataFrame, order: int) -> DataFrame:
                             contexts.append((keys, n * int(use)))
                 if len(words) > 16:
                     words = [merged_counts(words)]
-                if sum(len(c[0]) for c in contexts) > 3_000_000:
+                if len(contexts) > 1 and sum(len(c[0]) for c in contexts[1:]) > max(1_000_000, len(contexts[0][0])):
                     contexts = [merged_counts(contexts)]
-        yield from out()
+        if words:
+            yield parts(WORDS, block, words)
+            yield parts(CONTEXTS, block, contexts)
 
-    return rows.mapInArrow(run, "kind byte, block int, bucket int, key long, n long, packed binary")
+    return rows.mapInArrow(run, "kind byte, block int, bucket int, n long, packed binary")
 
 
 def summed(packed: DataFrame) -> DataFrame:
-    """bucket, key, n: the training counts over all blocks; 0 where only held-out documents have the context and byte. packed: bucket, n, packed."""
+    """bucket, key, n: the training counts over all blocks; 0 where only held-out documents have the key. packed: bucket, n, packed."""
 
     def run(part: pa.Table) -> pa.Table:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -368,86 +315,60 @@ def coded_lengths(contexts: DataFrame, order: int = ORDER) -> DataFrame:
     return out
 
 
-def block_lengths(packed: DataFrame, lengths: DataFrame) -> DataFrame:
-    """block, n, packed, v: the coded lengths, as packed doubles, of the keys of each block and bucket."""
+def looked_up(packed: DataFrame, values: DataFrame) -> DataFrame:
+    """kind, block, n, packed, v: the values, as compressed doubles, of the keys of each block and bucket. packed: kind, block, bucket, n, packed; values: bucket, key, v."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         keys, v = right.column("key").to_numpy().view(_U), right.column("v").to_numpy()
         sort = np.argsort(keys)
         keys, v = keys[sort], v[sort]
-        got = [v[np.searchsorted(keys, unpack(d.as_py(), n)[0])].tobytes() for d, n in zip(left.column("packed"), left.column("n").to_pylist(), strict=True)]
-        return pa.table({"block": left.column("block"), "n": left.column("n"), "packed": left.column("packed"), "v": pa.array(got, pa.binary())})
-
-    return packed.groupBy("bucket").cogroup(lengths.groupBy("bucket")).applyInArrow(run, "block int, n long, packed binary, v binary")
-
-
-def shortened(keys: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The counts of every context length, from those of the longest."""
-    return [merged_counts([(keys & _U((1 << (8 * (k + 1))) - 1), counts)]) for k in range(order + 1)]
-
-
-def trie_entries(counts: DataFrame, order: int, limit: int = MAX_ENTRIES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The trie's entries, from summed context counts (key, n; staged), at most `limit` of them. One cutoff holds for all lengths, so what a context has, its suffix has."""
-    levels = [counts.groupBy(F.col("key").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("key")).agg(F.sum("n").alias("n")).withColumn("k", F.lit(k)) for k in range(order)]
-    every = counts.select("key", "n", F.lit(order).alias("k"))
-    for x in levels:
-        every = every.unionByName(x)
-    every = staged(every, "ppm-levels")
-    by_size = every.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count("*").alias("c")).collect()  # at most 63 rows
-    total, cutoff = sum(r["c"] for r in by_size), 0
-    for r in sorted(by_size, key=lambda r: r["p"]):
-        if total <= limit:
-            break
-        total, cutoff = total - r["c"], 1 << (r["p"] + 1)
-    entries = []
-    for k in range(order + 1):
-        got = every.filter((F.col("k") == k) & (F.col("n") >= cutoff)).select("key", "n").toArrow()
-        keys, n = got.column("key").to_numpy().view(_U), got.column("n").to_numpy()
-        sort = np.argsort(keys)
-        entries.append((keys[sort], n[sort]))
-    discard(every)
-    return entries
+        got = [zlib.compress(v[np.searchsorted(keys, unpack(d.as_py(), n)[0])].view(np.uint8).reshape(-1, 8).T.tobytes(), 1) for d, n in zip(left.column("packed"), left.column("n").to_pylist(), strict=True)]
+        return pa.table({"kind": left.column("kind"), "block": left.column("block"), "n": left.column("n"), "packed": left.column("packed"), "v": pa.array(got, pa.binary())})
+
+    return packed.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(run, "kind byte, block int, n long, packed binary, v binary")
+
+
+def together(parts: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of all parts of a kind."""
+    keys, values = [np.zeros(0, dtype=_U)], [np.zeros(0)]
+    for i in np.flatnonzero(parts.column("kind").to_numpy() == kind).tolist():
+        n = parts.column("n")[i].as_py()
+        keys.append(unpack(parts.column("packed")[i].as_py(), n)[0])
+        planes = np.frombuffer(zlib.decompress(parts.column("v")[i].as_py()), dtype=np.uint8).reshape(8, n)
+        values.append(np.ascontiguousarray(planes.T).view(np.float64).ravel())
+    return np.concatenate(keys), np.concatenate(values)
 
 
 def scored(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     rows, blocks = blocked(docs, block_bytes)
-    together = rows.repartition(max(blocks // 4, min(blocks, 12)), "block").sortWithinPartitions("block")
-    got = staged(learnt(together, order), "ppm-learnt")
-    words = staged(got.filter("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0"), "ppm-words")
-    total, distinct = words.agg(F.sum("n"), F.count("*")).first()
+    by_block = rows.repartition(max(blocks // 2, min(blocks, 12)), "block").sortWithinPartitions("block")
+    got = staged(learnt(by_block, order, buckets_for(blocks)), "ppm-learnt")
+    packed = {kind: got.filter(F.col("kind") == kind) for kind in (WORDS, CONTEXTS)}
+    words = staged(summed(packed[WORDS]), "ppm-words")
+    total, distinct = words.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     total, distinct = total or 0, distinct or 0
-    packed = got.filter("kind = 1").select("block", "bucket", "n", "packed")
-    contexts = staged(summed(packed), "ppm-contexts")
+    contexts = staged(summed(packed[CONTEXTS]), "ppm-contexts")
     lengths = coded_lengths(contexts, order)
     discard(contexts)
-    own = got.filter("kind = 0").select("block", "key").join(words, "key").select("block", "key", "n", F.lit(None).cast("binary").alias("packed"), F.lit(None).cast("binary").alias("v"))
-    both = block_lengths(packed, lengths).select("block", F.lit(None).cast("long").alias("key"), "n", "packed", "v")
-    own = own.unionByName(both)
+    own = looked_up(packed[WORDS], words.select("bucket", "key", F.col("n").cast("double").alias("v"))).unionByName(looked_up(packed[CONTEXTS], lengths))
     unseen, bottom = 0.5 / (total + 0.5 * (distinct + 1)), total + 0.5 * (distinct + 1)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        packs = right.filter(pc.is_valid(right.column("packed")))
-        right = right.filter(pc.is_null(right.column("packed")))
-        hashes = right.column("key").to_numpy().view(_U) if right.num_rows else np.zeros(0, dtype=_U)
+        hashes, counts = together(right, WORDS)
         sort = np.argsort(hashes)
-        hashes, counts = hashes[sort], (right.column("n").to_numpy()[sort] if right.num_rows else np.zeros(0, dtype=np.int64))
-        grams_ = np.concatenate([unpack(d.as_py(), n)[0] for d, n in zip(packs.column("packed"), packs.column("n").to_pylist(), strict=True)])
-        lengths = HashTable(grams_, np.concatenate([np.frombuffer(d.as_py()) for d in packs.column("v")]))
-        del packs, grams_
+        hashes, counts = hashes[sort], counts[sort]
+        lengths = HashTable(*together(right, CONTEXTS))
         logs = np.log10((counts + 0.5) / bottom)
 
         def look(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if not len(hashes):
-                return np.full(len(words), math.log10(unseen)), np.zeros(len(words), dtype=bool)
-            at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
-            known = hashes[at] == words
+            at = np.searchsorted(hashes, words)
+            known = counts[at] > 0
             return np.where(known, logs[at], math.log10(unseen)), known
 
         end, end_known = (x[0] for x in look(np.array([END], dtype=_U)))
-        raw = left.column("raw").combine_chunks()
-        raw = raw.to_pylist()
+        raw = left.column("raw").to_pylist()
         n_tokens, n_known, base, score = [], [], [], []
         for lo, hi in in_chunks([len(r) for r in raw], PIECE_BYTES):
             texts = raw[lo:hi]
