@@ -33,7 +33,7 @@ from .common import discard, in_chunks, small, staged, table, word_hashes
 
 ORDER = 5
 #: Text bytes of a block, and of the pieces in which counts are taken.
-BLOCK_BYTES, PIECE_BYTES = 12 << 20, 2 << 20
+BLOCK_BYTES, PIECE_BYTES = 12 << 20, 1 << 19
 #: Parts by which the packed words or contexts of all blocks meet: at least so many, one for so many blocks, and at most so many.
 MIN_BUCKETS, BUCKET_BLOCKS, MAX_BUCKETS = 64, 4, 4096
 #: What is packed.
