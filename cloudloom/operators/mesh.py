@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -74,17 +74,28 @@ def shortest_paths(faces: DataFrame, vertices: DataFrame, source: int, target: i
             break
         state = saved(state.join(better, "idx", "left_anti").unionByName(better))
         front = better
+    else:
+        raise RuntimeError(f"paths still improve after {max_rounds} rounds")
     return state
 
 
 def path_to(paths: DataFrame, target: int) -> DataFrame:
-    """pos, idx of the path to target without the target itself, from the source on. One path is walked on the driver: bounded by its own length."""
-    up = {r["idx"]: r["prev"] for r in paths.select("idx", "prev").toLocalIterator()}
-    out, cur = [], up.get(target)
-    while cur is not None:
-        out.append(cur)
-        cur = up[cur]
-    return paths.sparkSession.createDataFrame(list(enumerate(reversed(out))), "pos long, idx long")
+    """pos, idx of the path to target without the target itself, from the source on.
+
+    Found by pointer jumping: round k knows every vertex's ancestor 2**k steps up and doubles the known part of the path, so a path takes the logarithm of its length in rounds.
+    """
+    jump = saved(paths.filter("prev is not null").select("idx", F.col("prev").alias("up")))
+    path = paths.filter(F.col("idx") == target).select("idx", F.lit(0).cast("long").alias("hops"))
+    k = 0
+    while True:
+        more = path.join(jump, "idx").select(F.col("up").alias("idx"), (F.col("hops") + (1 << k)).alias("hops"))
+        longer = saved(path.unionByName(more))
+        if not longer.filter(F.col("hops") >= (1 << k)).limit(1).count():
+            break
+        path, k = longer, k + 1
+        jump = saved(jump.alias("a").join(jump.alias("b"), F.col("a.up") == F.col("b.idx")).select("a.idx", "b.up"))
+    n = path.agg(F.max("hops")).first()[0] or 0
+    return path.filter("hops > 0").select((F.lit(n) - F.col("hops")).cast("long").alias("pos"), "idx")
 
 
 def flood(adjacency: DataFrame, seed: DataFrame, max_rounds: int = 100_000) -> DataFrame:
@@ -97,7 +108,7 @@ def flood(adjacency: DataFrame, seed: DataFrame, max_rounds: int = 100_000) -> D
         if not front.limit(1).count():
             return reached
         reached = saved(reached.union(front))
-    return reached
+    raise RuntimeError(f"the flood still spreads after {max_rounds} rounds")
 
 
 def seed_faces(faces: DataFrame, vertices: DataFrame, at: Sequence[float]) -> DataFrame:
@@ -108,10 +119,12 @@ def seed_faces(faces: DataFrame, vertices: DataFrame, at: Sequence[float]) -> Da
 
 
 def renumbered(faces: DataFrame) -> DataFrame:
-    """face_id, corner, v, new: vertices numbered densely in order of first use."""
+    """face_id, corner, v, new: vertices numbered densely in order of first use, by range partitions and their offsets."""
+    from .cloud import reindexed
+
     c = corners(faces)
-    first = c.groupBy("v").agg(F.min(F.struct("face_id", "corner")).alias("first"))
-    new = first.withColumn("new", (F.dense_rank().over(Window.orderBy("first")) - 1).cast("long"))
+    first = c.groupBy("v").agg(F.min(F.struct("face_id", "corner")).alias("first")).select("v", "first.*")
+    new = reindexed(first, ["face_id", "corner"]).withColumnRenamed("idx", "new")
     return c.join(new.select("v", "new"), "v").select("face_id", F.col("corner").cast("long").alias("corner"), "v", "new")
 
 

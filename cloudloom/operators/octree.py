@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .mesh import saved
 
 KEYS = ["kx", "ky", "kz"]
 
+#: Rays that are broadcast at once, about.
+RAY_BLOCK = 20_000
+
 
 def key_depth(low: Sequence[float], high: Sequence[float], size: float) -> int:
     """Levels that the box needs: at least one (two voxels a side), at most 32."""
@@ -155,6 +159,7 @@ def kd_leaves(points: DataFrame, most: int) -> DataFrame:
         cur = cur.join(cuts, "node", "left").select(
             *(c for c in cur.columns if c not in ("node", "depth")), F.when(F.col("cut").isNull(), F.col("node")).otherwise(F.col("node") * 2 + (v >= F.col("cut")).cast("long")).alias("node"), (F.col("depth") + F.col("cut").isNotNull().cast("long")).alias("depth")
         )
+        cur = saved(cur)  # or every round would work out all before it
 
 
 def kd_boxes(leaves: DataFrame) -> DataFrame:
@@ -164,9 +169,13 @@ def kd_boxes(leaves: DataFrame) -> DataFrame:
 def ray_voxels(vox: DataFrame, rays: DataFrame, origin: Sequence[float], size: float) -> DataFrame:
     """Occupied voxels that each ray (qidx, ox, oy, oz, dx, dy, dz; few) meets, with the entry parameter t.
 
-    Slab test of every voxel against the broadcast rays: a stated query set against all rows.
+    Slab test of every voxel against the rays, broadcast in blocks of about RAY_BLOCK: a stated query set against all rows.
     """
-    r = vox.join(F.broadcast(rays))
+    blocks = -(-rays.count() // RAY_BLOCK)
+    r = None
+    for i in range(max(1, blocks)):
+        part = vox.join(F.broadcast(rays.filter(F.pmod(F.xxhash64("qidx"), F.lit(max(1, blocks))) == i)))
+        r = part if r is None else r.unionByName(part)
     near, far = [], []
     for a, o in zip(G.AXES, origin, strict=True):
         lo = (F.col("k" + a) * size + o - F.col("o" + a)) / F.col("d" + a)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from . import octree, search
+from . import mesh, octree, search
 
 KEYS = octree.KEYS
 
@@ -79,15 +79,24 @@ def weight_sampling_k(points: DataFrame, percent: float, k: int, sigma: float) -
 
 
 def random_draws(weighted: DataFrame, n: int, seed: int) -> DataFrame:
-    """n draws with replacement by weight: uniform numbers, each meeting the cumulative range that it falls into.
+    """n draws with replacement by weight: uniform numbers (from the md5 of seed and draw), each meeting the cumulative range that it falls into.
 
-    Ranges are joined by cells of the total weight over the number of points, not by a nested loop.
+    Cumulative sums are those of range partitions plus offsets, so no task sees all points. Ranges are joined by cells of the total weight over the number of
+    points, not by a nested loop. weighted: idx, weight. No weight at all gives no draws.
     """
-    total = weighted.agg(F.sum("weight")).first()[0] or 0.0
-    cells = max(1, weighted.count())
-    w = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    cdf = weighted.withColumn("hi", F.sum("weight").over(w)).withColumn("lo", F.col("hi") - F.col("weight"))
+    ranged = mesh.saved(weighted.select("idx", F.col("weight").cast("double").alias("weight")).repartitionByRange("idx").withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("part").agg(F.sum("weight").alias("held"), F.count("*").alias("rows"))
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    parts = mesh.saved(sums.withColumn("off", F.coalesce(F.sum("held").over(w), F.lit(0.0))))
+    total, cells = parts.agg(F.max(F.col("off") + F.col("held")), F.sum("rows")).first()
+    if not total:
+        return weighted.sparkSession.createDataFrame([], "draw long, idx long")
+    p = Window.partitionBy("part").orderBy("idx")
+    before = F.coalesce(F.sum("weight").over(p.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    cdf = ranged.join(F.broadcast(parts), "part").withColumn("lo", F.col("off") + before)  # parts: one row a partition
+    cdf = cdf.withColumn("hi", F.coalesce(F.lead("lo").over(p), F.col("off") + F.col("held")))
     cell = lambda c: F.floor(c / F.lit(total) * cells).cast("long")
-    cdf = cdf.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
-    draws = weighted.sparkSession.range(n).select(F.col("id").alias("draw"), (F.rand(seed) * total).alias("u")).withColumn("cell", cell(F.col("u")))
+    cdf = cdf.select("idx", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
+    uniform = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    draws = weighted.sparkSession.range(n).select(F.col("id").alias("draw"), (uniform * total).alias("u")).withColumn("cell", cell(F.col("u")))
     return draws.join(cdf, "cell").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", "idx")

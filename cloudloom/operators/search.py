@@ -1,7 +1,8 @@
 """Neighbour search as joins: a query cloud against a reference cloud.
 
-k nearest: the query set, in blocks, goes to every partition of the reference cloud, which is read once per block; each
-batch keeps its k nearest per query in numpy, and the few survivors are ranked. Nothing but k rows per query and batch is shuffled.
+k nearest: a query set of at most QUERY_BLOCK goes to every partition of the reference cloud, which is read once; each
+batch keeps its k nearest per query in numpy, and the few survivors are ranked. Nothing but k rows per query and batch is shuffled. Larger
+query sets go by rounds of grid joins (in other than three dimensions: by blocks).
 Radius: both sides are dealt by grid cell of the radius, queries to their 27 neighbour cells, and the equi-join's pairs are filtered by distance.
 """
 
@@ -44,6 +45,8 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, dims: Sequence[str] =
     """qidx, idx, d2, rank (from 1): the k nearest finite points of each query. points: idx and dims; queries: qidx and dims. k < 1 gives no rows."""
     schema = "qidx long, idx long, d2 double"
     spark = points.sparkSession
+    if k >= 1 and list(dims) == list(G.AXES) and queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        return nearest_join(points, queries, k)
     if k < 1:
         return spark.createDataFrame([], schema + ", rank long")
     ref = points.filter(G.finite(*dims)).select(F.col("idx").cast("long").alias("idx"), *dims)
@@ -117,6 +120,8 @@ def nearest_join(points: DataFrame, queries: DataFrame, k: int, max_rounds: int
         if not open_.limit(1).count():
             break
         size *= 2
+    else:
+        raise RuntimeError(f"queries are still open after {max_rounds} rounds")
     return found
 
 
@@ -145,10 +150,12 @@ def same_voxel(keyed: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def approximate(keyed: DataFrame, queries: DataFrame) -> DataFrame:
-    """qidx, idx, d2: the nearest point of the query's own voxel; no row where that is empty (the greedy descent of a tree may also answer from a neighbour voxel)."""
+    """qidx, idx, d2: the nearest point of the query's own voxel (least idx on ties); queries in an empty voxel get the nearest point of the cloud."""
     q = queries.select("qidx", *(F.col(a).alias("q" + a) for a in G.AXES), "kx", "ky", "kz")
     pairs = keyed.join(q, ["kx", "ky", "kz"]).withColumn("d2", G.sq_dist(G.points(), G.points("q")))
-    return pairs.groupBy("qidx").agg(F.min_by(F.struct("idx", "d2"), F.struct("d2", "idx")).alias("m")).select("qidx", "m.*")
+    found = pairs.groupBy("qidx").agg(F.min_by(F.struct("idx", "d2"), F.struct("d2", "idx")).alias("m")).select("qidx", "m.*")
+    rest = queries.join(keyed.select("kx", "ky", "kz").distinct(), ["kx", "ky", "kz"], "left_anti")
+    return found.unionByName(nearest(keyed, rest, 1).drop("rank"))
 
 
 def hashed_neighbours(points: DataFrame, queries: DataFrame, radius: float, tables: int = 4, seed: int = 7) -> DataFrame:

@@ -377,13 +377,21 @@ def t3k(spark, sf):
     return rounded(sampling.weight_sampling_k(cloud(spark, sf), 0.4, 10, 1.5).select("idx", "weight"), 9)
 
 
-@query("T4_random_distribution")
+def draws_sql(weight: str, n: int, seed: int) -> str:
+    return (
+        f"WITH w AS (SELECT idx, {weight} AS weight FROM cloud), c AS (SELECT idx, coalesce(sum(weight) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM w), "
+        f"d AS (SELECT i AS draw, CAST('0x' || substr(md5('{seed}:' || i), 1, 13) AS BIGINT) / 4503599627370496.0 * (SELECT sum(weight) FROM w) AS u FROM range({n}) t(i)) "
+        "SELECT draw, idx FROM d ASOF JOIN c ON d.u >= c.lo"
+    )
+
+
+@query("T4_random_distribution", draws_sql("abs(x)", 1000, 17), "cloud")
 def t4(spark, sf):
     c = cloud(spark, sf).select("idx", F.abs("x").alias("weight"))
     return sampling.random_draws(c, 1000, 17)
 
 
-@query("T5_normal_distribution")
+@query("T5_normal_distribution", draws_sql("exp(-(x * x + y * y + z * z) / 0.02)", 1000, 23), "cloud")
 def t5(spark, sf):
     """Draws whose weight is a Gaussian of the distance from the mean; bins keep to their points."""
     c = cloud(spark, sf).select("idx", F.exp(-G.dot(G.points(), G.points()) / 0.02).alias("weight"))

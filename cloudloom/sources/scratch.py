@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the session's shared checkpoint folder (a private one where none is set), deleted at the end of the application."""
+    """A new path in the session's shared checkpoint folder (a private one where none is set and all tasks run in this process), deleted at the end of the application."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cloudloom-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root}/cloudloom-files/{name}-{uuid.uuid4().hex}"

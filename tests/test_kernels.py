@@ -278,3 +278,35 @@ def test_streaming_first_points(spark, tmp_path):
     q.awaitTermination()
     want = O.indexed(df, (0.0, 0.0, 0.0), 0.25).select(*O.KEYS).distinct().count()
     assert spark.table("fresh").count() == want
+
+
+def test_paths_are_walked_back(spark):
+    """The path of a tree, found by doubling, is that of following `prev`; the target itself and unreachable targets give nothing."""
+    from cloudloom.operators import mesh
+
+    up = {0: None, **{i: (i - 1) // 2 if i % 3 else i - 1 for i in range(1, 60)}}
+    paths = spark.createDataFrame([(i, float(i), p) for i, p in up.items()], "idx long, dist double, prev long")
+    for target in (0, 1, 7, 59):
+        want, cur = [], up[target]
+        while cur is not None:
+            want.append(cur)
+            cur = up[cur]
+        assert [r.idx for r in mesh.path_to(paths, target).orderBy("pos").collect()] == want[::-1]
+    assert mesh.path_to(paths, 1000).collect() == []
+
+
+def test_rounds_that_run_out_are_errors(spark):
+    from cloudloom.operators import mesh
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(9)], "f long, g long")
+    with pytest.raises(RuntimeError):
+        mesh.flood(chain, spark.createDataFrame([(0,)], "face_id long"), max_rounds=2)
+
+
+def test_queries_in_empty_voxels_are_answered(spark):
+    from cloudloom.operators import octree, search
+
+    pts = spark.createDataFrame([(i, float(i), 0.0, 0.0) for i in range(5)], "idx long, x double, y double, z double")
+    q = spark.createDataFrame([(0, 3.2, 0.1, 0.0), (1, 3.2, 9.0, 0.0)], "qidx long, x double, y double, z double")
+    got = search.approximate(octree.indexed(pts, (-16.0,) * 3, 1.0), octree.indexed(q, (-16.0,) * 3, 1.0)).collect()
+    assert {r.qidx: r.idx for r in got} == {0: 3, 1: 3}
