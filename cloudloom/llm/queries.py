@@ -30,7 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_chunks": op10_line_chunks,
 }
 
-#: op5, op6, op9 and the pipeline have none: a trained network, data-driven splits and a byte trie are not SQL; tests compare them with brute force.
+#: op5, op6, op9 and the pipeline have none: a trained network, data-driven splits and a byte trie are not SQL. Tests compare op9 with a plain trie, op5 with held-out
+#: labels, and check op6's sizes, digests, slots, balance and groups of copies; of the pipeline they check columns, row counts and what its first stage rejects.
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
