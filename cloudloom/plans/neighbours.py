@@ -217,17 +217,8 @@ def j29(spark, sf):
     return S.nearest(c, h, 1).select(F.col("qidx").alias("label"), "idx")
 
 
-@query("P9_custom_representation_knn", "WITH e AS (SELECT vec_id AS idx, embedding AS v FROM embeddings), d AS (SELECT q.idx AS qidx, p.idx, " + " + ".join(f"(CAST(p.v[{i}] AS DOUBLE) - q.v[{i}]) * (CAST(p.v[{i}] AS DOUBLE) - q.v[{i}])" for i in range(1, 9)) + " AS d2 FROM e p, e q WHERE q.idx % 50 = 0) SELECT qidx, idx, rank FROM (SELECT *, row_number() OVER (PARTITION BY qidx ORDER BY d2, idx) AS rank FROM d) WHERE rank <= 5")
+@query("P9_custom_representation_knn", "WITH e AS (SELECT vec_id AS idx, embedding AS v FROM embeddings), d AS (SELECT q.idx AS qidx, p.idx, " + " + ".join(f"(CAST(p.v[{i}] AS DOUBLE) - q.v[{i}]) * (CAST(p.v[{i}] AS DOUBLE) - q.v[{i}])" for i in range(1, 65)) + " AS d2 FROM e p, e q WHERE q.idx % 50 = 0) SELECT qidx, idx, rank FROM (SELECT *, row_number() OVER (PARTITION BY qidx ORDER BY d2, idx) AS rank FROM d) WHERE rank <= 5")
 def p9b(spark, sf):
-    """Nearest neighbours in a feature space: the first eight dimensions."""
-    dims = [f"v{i}" for i in range(8)]
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), *(F.get("embedding", F.lit(i)).cast("double").alias(d) for i, d in enumerate(dims)))
-    q = e.filter(F.col("idx") % 50 == 0).withColumnRenamed("idx", "qidx")
-    return S.nearest(e, q, 5, dims).select("qidx", "idx", "rank")
-
-
-@query("P9_custom_representation_knn_64", "WITH e AS (SELECT vec_id AS idx, embedding AS v FROM embeddings), d AS (SELECT q.idx AS qidx, p.idx, " + " + ".join(f"(CAST(p.v[{i}] AS DOUBLE) - q.v[{i}]) * (CAST(p.v[{i}] AS DOUBLE) - q.v[{i}])" for i in range(1, 65)) + " AS d2 FROM e p, e q WHERE q.idx % 50 = 0) SELECT qidx, idx, rank FROM (SELECT *, row_number() OVER (PARTITION BY qidx ORDER BY d2, idx) AS rank FROM d) WHERE rank <= 5")
-def p9c(spark, sf):
     """Nearest neighbours in a feature space: all 64 dimensions."""
     dims = [f"v{i}" for i in range(64)]
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), *(F.get("embedding", F.lit(i)).cast("double").alias(d) for i, d in enumerate(dims)))

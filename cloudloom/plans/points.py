@@ -344,14 +344,8 @@ def w9(spark, sf):
 
 
 # top-k and sampling
-@query("T1_sort_by_distance", "SELECT idx, row_number() OVER (ORDER BY round(x * x + y * y + z * z, 9), idx) AS pos FROM cloud ORDER BY pos LIMIT 100", "cloud")
+@query("T1_sort_by_distance", "SELECT idx, row_number() OVER (ORDER BY round(x * x + y * y + z * z, 9), idx) AS pos FROM cloud", "cloud")
 def t1(spark, sf):
-    top = cloud(spark, sf).select("idx", F.round(G.dot(G.points(), G.points()), 9).alias("d")).orderBy("d", "idx").limit(100)
-    return top.select("idx", F.row_number().over(Window.orderBy("d", "idx")).cast("long").alias("pos"))
-
-
-@query("T1_sort_all_by_distance", "SELECT idx, row_number() OVER (ORDER BY round(x * x + y * y + z * z, 9), idx) AS pos FROM cloud", "cloud")
-def t1_all(spark, sf):
     """The position of every row, by range partitions and their offsets."""
     d = cloud(spark, sf).select(F.col("idx").alias("point"), F.round(G.dot(G.points(), G.points()), 9).alias("d"))
     return C.reindexed(d, ["d", "point"]).select(F.col("point").alias("idx"), (F.col("idx") + 1).alias("pos"))

@@ -51,7 +51,7 @@ def test_entry_contract(spark):
 
 def test_sort_keeps_every_row(spark):
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
-    pos = [r["pos"] for r in catalog.QUERIES["T1_sort_all_by_distance"](spark, SF).collect()]
+    pos = [r["pos"] for r in catalog.QUERIES["T1_sort_by_distance"](spark, SF).collect()]
     assert n > 100 and sorted(pos) == list(range(1, n + 1))
 
 
@@ -59,6 +59,6 @@ def test_embeddings_are_compared_in_all_dimensions(spark, tmp_path):
     """Rows that differ in the last dimension only are not alike."""
     rows = [(i, [0.0] * 63 + [float(i % 11 * 100 + i // 11 / 100)], 0) for i in range(110)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = catalog.QUERIES["P9_custom_representation_knn_64"](spark, str(tmp_path)).filter("qidx = 50 and rank = 2").collect()
+    got = catalog.QUERIES["P9_custom_representation_knn"](spark, str(tmp_path)).filter("qidx = 50 and rank = 2").collect()
     assert got[0]["idx"] in (39, 61)
     assert len(catalog.QUERIES["I21_pose_clusters"](spark, str(tmp_path)).collect()) == 11
