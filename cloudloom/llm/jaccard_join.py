@@ -270,7 +270,9 @@ def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
     members = members.join(short, "cid").join(small(staged(short.join(crowds.select(F.col("pivot").alias("cid")).distinct(), "cid", "left_semi"), "path-pivots")).toDF("pivot", "pivot_short"), "pivot")
     found = staged(to_pivots(members, threshold).distinct(), "path-pivot-links")
     roots = staged(components(found), "path-components").select(F.col("node").alias("cid"), "root")
-    level = classes.select("cid", "nodes").join(roots, "cid", "left").select(F.explode("nodes").alias("node"), "cid", F.coalesce("root", "cid").alias("comp"))
+    # staged, as the first level is read three times
+    known = staged(classes.select("cid", "nodes").join(roots, "cid", "left").select("cid", "nodes", F.coalesce("root", "cid").alias("comp")), "path-known")
+    level = known.select(F.explode("nodes").alias("node"), "cid", "comp")
     for depth in range(DEPTH + 1):
         open_ = staged(level.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("node", "n"), "path-open")
         level = at_nodes(level, open_)
@@ -355,7 +357,9 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     counts = exact.groupBy("cid").agg(F.sum("n_links").alias("n_links"))
     real = components(exact.filter("to is not null").select(F.col("cid").alias("a"), F.col("to").alias("b")))
     # the least (doc_id, text hash) names a class of copies and a group
-    info = classes.select("cid", "k1", "k2", "copies", F.struct("did", "th").alias("name")).join(counts, "cid", "left").join(real.withColumnRenamed("node", "cid"), "cid", "left")
+    # only compared classes have counts or groups: the two are joined before the far larger table of classes
+    found = counts.join(real.withColumnRenamed("node", "cid"), "cid", "left")
+    info = classes.select("cid", "k1", "k2", "copies", F.struct("did", "th").alias("name")).join(found, "cid", "left")
     info = staged(info.withColumn("root", F.coalesce("root", "cid")), "jaccard-classes-linked")
     least = info.groupBy("root").agg(F.min("name").alias("group_name"))
     info = info.join(least, "root").select("k1", "k2", F.col("name.did").alias("copy_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("group_name.did").alias("class_id"), F.col("group_name.th").alias("class_th"))
