@@ -433,45 +433,82 @@ def test_ppm_drops_no_count(spark):
         assert math.isclose(got[i]["score"], trie.score(t.encode()), rel_tol=1e-9)
 
 
-def brute_chunks(docs):
-    md5 = lambda b: hashlib.md5(b).hexdigest()
-    out = []
-    for _, t in docs:
-        lines = (t or "").split("\n")
-        h = [md5(x.encode()) for x in lines]
-        starts = [i for i in range(len(lines)) if i == 0 or md5((h[max(i - 2, 0)] + h[i - 1]).encode())[0] in "0123"]
-        out.append(["\n".join(lines[a:b]) for a, b in zip(starts, [*starts[1:], len(lines)], strict=True)])
-    return out
+def line_starts(lines):
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    return [i for i in range(len(lines)) if i == 0 or (i + 1 < len(lines) and md5(md5(lines[i]) + md5(lines[i + 1]))[0] in "01234567")]
+
+
+def brute_lines(docs):
+    """The lines that stay of every document, with the number of its chunks; docs of equal id are equal."""
+    order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is not None, docs[i][0] or 0))
+    lines = [(t or "").split("\n") for _, t in docs]
+    starts = [line_starts(x) for x in lines]
+    first, out = {}, {}
+    for d in order:
+        mine, gone = lines[d], set()
+        for k, i in enumerate(starts[d]):
+            if i + 1 == len(mine):
+                continue
+            f, a = first.setdefault((mine[i], mine[i + 1]), (d, i))
+            if docs[f] == docs[d] and a == i:
+                continue
+            theirs, m = lines[f], starts[f].index(a)
+            ends = [s[n + 1] if n + 1 < len(s) else len(x) - 1 for s, n, x in ((starts[d], k, mine), (starts[f], m, theirs))]
+            on = 0
+            while i + on <= ends[0] and a + on <= ends[1] and mine[i + on] == theirs[a + on]:
+                on += 1
+            back = 0
+            least = [s[n - 1] if n else 0 for s, n in ((starts[d], k), (starts[f], m))]
+            while i - back - 1 >= least[0] and a - back - 1 >= least[1] and mine[i - back - 1] == theirs[a - back - 1]:
+                back += 1
+            if sum(bool(x.strip(" \t\n\v\f\r")) for x in mine[i - back : i + on]) >= 2:
+                gone.update(range(i - back, i + on))
+        out[d] = ([x for i, x in enumerate(mine) if i not in gone], len(starts[d]))
+    return [out[d] for d in range(len(docs))]
 
 
 def test_line_chunks(spark, sf, docs):
-    got = collections.Counter((r.doc_id, r.n_lines, r.n_chunks, r.n_removed_chunks, r.kept_sha256) for r in QUERIES["op10_line_chunks"](spark, sf).collect())
-    chunks, first, want = brute_chunks(docs), {}, []
-    for i in sorted(range(len(docs)), key=lambda i: (docs[i][0] is not None, docs[i][0] or 0)):
-        for k, c in enumerate(chunks[i]):
-            if "\n" in c:
-                first.setdefault(c, (docs[i], k))
-    for (i, t), cs in zip(docs, chunks, strict=True):
-        keep = [c for k, c in enumerate(cs) if first.get(c, ((i, t), k)) == ((i, t), k)]
-        want.append((i, len((t or "").split("\n")), len(cs), len(cs) - len(keep), sha("\n".join(keep).encode())))
+    got = collections.Counter((r.doc_id, r.n_lines, r.n_chunks, r.n_removed_lines, r.kept_sha256) for r in QUERIES["op10_line_chunks"](spark, sf).collect())
+    want = []
+    for (i, t), (keep, n) in zip(docs, brute_lines(docs), strict=True):
+        whole = len((t or "").split("\n"))
+        want.append((i, whole, n, whole - len(keep), sha("\n".join(keep).encode())))
     assert got == collections.Counter(want)
 
 
+def test_line_chunks_random(spark):
+    """Few different lines, blank ones among them: repeats within and across documents, overlapping ones too."""
+    rng = np.random.default_rng(4)
+    docs = [(i, "\n".join(["", "a", "b c", "d", " ", "é f", "a"][k] if rng.random() < 0.7 else f"own {i} {k} {rng.random()}" for k in rng.integers(0, 7, int(rng.integers(1, 40))))) for i in range(60)]
+    got = {r.doc_id: r.kept_text for r in line_chunks.kept(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: "\n".join(keep) for (i, _), (keep, _) in zip(docs, brute_lines(docs), strict=True)}
+
+
 def test_line_chunks_keep_one_copy(spark):
     rng = np.random.default_rng(4)
     passage = [f"shared line {i} of the passage" for i in range(30)]
     docs = [(i, "\n".join([f"own {i} {x}" for x in range(int(rng.integers(1, 6)))] + passage + [f"end {i}"])) for i in range(12)]
-    got = {r.doc_id: r.kept_text for r in line_chunks.kept(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    seen = set()
-    for (i, _), chunks in zip(docs, brute_chunks(docs), strict=True):
-        keep = []
-        for c in chunks:
-            if "\n" in c and c in seen:
-                continue
-            seen.add(c)
-            keep.append(c)
-        assert got[i] == "\n".join(keep)
-    assert sum(map(len, got.values())) < 0.6 * sum(len(t) for _, t in docs)
+    got = {r.doc_id: r.kept_text.split("\n") for r in line_chunks.kept(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0] == docs[0][1].split("\n")
+    assert all(got[i] == [x for x in t.split("\n") if x not in passage] for i, t in docs[1:])
+
+
+def test_line_chunks_recall(spark):
+    """Of passages of n lines in fresh surroundings, all lines or none go: all of them in 1 - 0.5 ** (n - 1) of the cases."""
+    docs, n_of = [], {}
+    for n in (2, 3, 5, 10):
+        for p in range(200):
+            for copy in range(2):
+                i = len(docs)
+                docs.append((i, "\n".join([f"before {i}", *(f"line {k} of {n} {p}" for k in range(n)), f"after {i}", f"last {i}"])))
+                n_of[i] = (n, copy)
+    caught = collections.Counter()
+    for r in line_chunks.kept(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        n, copy = n_of[r.doc_id]
+        assert r.n_removed_lines in ((0, n) if copy else (0,))
+        caught[n] += r.n_removed_lines > 0
+    for n in (2, 3, 5, 10):
+        assert abs(caught[n] / 200 - (1 - 0.5 ** (n - 1))) < 0.12, (n, caught[n])
 
 
 def test_pipeline(spark, sf):
