@@ -37,7 +37,8 @@ def with_chunks(df: DataFrame) -> DataFrame:
     df = held(df, lines=F.split("text", "\n", -1))
     df = held(df, hashes=F.transform("lines", lambda x: F.md5(x)))
     rolling = lambda i: F.md5(F.concat(F.get("hashes", i), F.get("hashes", i + 1)))
-    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | F.substring(rolling(i), 1, 1).isin(*STARTS))
+    again = lambda i: (F.get("hashes", i) == F.get("hashes", i + 1)) & F.get("lines", i).rlike(HAS_WORD)
+    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | F.substring(rolling(i), 1, 1).isin(*STARTS) | again(i))
     return held(df, starts=starts).drop("hashes")
 
 
@@ -98,7 +99,7 @@ WITH l AS (
   SELECT doc_id, i, line, md5(line) AS h FROM (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
 b AS (
-  SELECT *, lead(line) OVER w AS line2, i = 1 OR coalesce(substr(md5(h || lead(h) OVER w), 1, 1) < '8', false) AS starts
+  SELECT *, lead(line) OVER w AS line2, i = 1 OR coalesce(substr(md5(h || lead(h) OVER w), 1, 1) < '8' OR (h = lead(h) OVER w AND regexp_matches(line, '[^\x20\x09-\x0D]')), false) AS starts
   FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 t AS (SELECT doc_id, list(line ORDER BY i) AS lines FROM l GROUP BY doc_id),
 s AS (SELECT doc_id, i, line, line2, lag(i) OVER w AS since, lead(i) OVER w AS until FROM b WHERE starts WINDOW w AS (PARTITION BY doc_id ORDER BY i)),

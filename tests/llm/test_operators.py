@@ -435,7 +435,8 @@ def test_ppm_drops_no_count(spark):
 
 def line_starts(lines):
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
-    return [i for i in range(len(lines)) if i == 0 or (i + 1 < len(lines) and md5(md5(lines[i]) + md5(lines[i + 1]))[0] in "01234567")]
+    twice = lambda i: lines[i] == lines[i + 1] and lines[i].strip(" \t\n\v\f\r") != ""
+    return [i for i in range(len(lines)) if i == 0 or (i + 1 < len(lines) and (md5(md5(lines[i]) + md5(lines[i + 1]))[0] in "01234567" or twice(i)))]
 
 
 def brute_lines(docs):
