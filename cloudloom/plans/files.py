@@ -82,7 +82,8 @@ def s6(spark, sf):
     path = scratch(spark, "vn")
     j = C.zip_columns(cloud(spark, sf), normals(spark, sf))
     two = F.array(F.struct(F.lit(0).alias("k"), X.obj_line("v", ["x", "y", "z"]).alias("line")), F.struct(F.lit(1).alias("k"), X.obj_line("vn", ["nx", "ny", "nz"]).alias("line")))
-    X.write_lines(j.select("idx", F.explode(two).alias("s")).select("idx", "s.k", "s.line"), path, ["idx", "k"])
+    # points and normals meet by file and ordinal, so a point and its normal go to one file
+    X.write_lines(j.select("idx", F.explode(two).alias("s")).select("idx", "s.k", "s.line"), path, ["idx", "k"], ["idx"])
     return rounded(place(X.read_cloud_with_normals(X.tagged(spark, path))), 6, "nx", "ny", "nz").select("idx", "x", "y", "z", "nx", "ny", "nz", "curvature")
 
 

@@ -79,9 +79,9 @@ def read_cloud_with_normals(t: DataFrame) -> DataFrame:
     return read_vertices(t).join(n, ["file", "idx"])
 
 
-def write_lines(df: DataFrame, path: str, order: Sequence[str]) -> None:
-    """df.line as text in order: range partitions become files whose names sort alike."""
-    df.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(path)
+def write_lines(df: DataFrame, path: str, order: Sequence[str], whole: Sequence[str] = ()) -> None:
+    """df.line as text in order: range partitions become files whose names sort alike. Lines equal in `whole`, the first columns of order, share a file."""
+    df.repartitionByRange(*(whole or order)).sortWithinPartitions(*order).select("line").write.text(path)
 
 
 def obj_line(tag: str, cols: Sequence[str], digits: int = 17) -> Column:

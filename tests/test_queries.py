@@ -62,3 +62,17 @@ def test_embeddings_are_compared_in_all_dimensions(spark, tmp_path):
     got = catalog.QUERIES["P9_custom_representation_knn"](spark, str(tmp_path)).filter("qidx = 50 and rank = 2").collect()
     assert got[0]["idx"] in (39, 61)
     assert len(catalog.QUERIES["I21_pose_clusters"](spark, str(tmp_path)).collect()) == 11
+
+
+def test_points_and_normals_share_a_file(spark, tmp_path):
+    """Files begin between two points, not between a point and its normal."""
+    rows = [(i, [float(i + j) for j in range(1, 7)], 0) for i in range(333)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tables go to several files, too
+    try:
+        got = sorted(catalog.QUERIES["S6_cloud_with_normals"](spark, str(tmp_path)).collect(), key=lambda r: r["idx"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(r["idx"], r["x"]) for r in got] == [(i, i + 1.0) for i in range(333)]
+    n = [(i + 4) / ((i + 4) ** 2 + (i + 5) ** 2 + (i + 6) ** 2) ** 0.5 for i in range(333)]
+    assert all(abs(r["nx"] - n[r["idx"]]) < 1e-6 for r in got)
