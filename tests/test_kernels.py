@@ -310,3 +310,15 @@ def test_queries_in_empty_voxels_are_answered(spark):
     q = spark.createDataFrame([(0, 3.2, 0.1, 0.0), (1, 3.2, 9.0, 0.0)], "qidx long, x double, y double, z double")
     got = search.approximate(octree.indexed(pts, (-16.0,) * 3, 1.0), octree.indexed(q, (-16.0,) * 3, 1.0)).collect()
     assert {r.qidx: r.idx for r in got} == {0: 3, 1: 3}
+
+
+def test_kernel_machines_by_blocks_agree_with_direct_ones(spark):
+    """Several groups and blocks, copies, and a class of one row, which its own fold does not know."""
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 3, 1300)
+    x = rng.normal(size=(1300, 12)) + y[:, None] * 0.4
+    x[50:60] = x[0]
+    y[7] = 9
+    df = spark.createDataFrame([(int(3 * i), a.tolist(), int(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "idx long, f array<double>, y long")
+    got, want = (sorted(map(tuple, L.cross_validated(df, "f", "y", [0.2], [1.0, 2.0], direct=d).collect())) for d in (100, 4000))
+    assert got == want and len(got) == 2 and want[0][2] > 0.5
