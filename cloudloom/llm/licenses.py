@@ -151,6 +151,17 @@ def units(files: DataFrame) -> DataFrame:
     return files.select("fid", F.explode(F.concat(lines, paragraphs, whole)).alias("u")).select("fid", "u.*")
 
 
+def squared_counts(words: Column) -> Column:
+    """The sum of the squares of how often each word comes, in one pass over the sorted words: a word's k-th copy adds k * k - (k - 1) * (k - 1)."""
+    start = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("k"), F.lit(0.0).alias("total"))
+
+    def step(so_far: Column, word: Column) -> Column:
+        k = F.when(so_far["word"] == word, so_far["k"] + 1).otherwise(1)
+        return F.struct(word.alias("word"), k.alias("k"), (so_far["total"] + 2 * k - 1).alias("total"))
+
+    return F.aggregate(F.sort_array(words), start, step, lambda end: end["total"])
+
+
 def matches(files: DataFrame, weights: dict[str, float], unseen: float, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """fid, license, score: the best template of every file that reaches the threshold. files: fid, path, text."""
     u = held(units(files), words=item_words(F.col("unit"))).drop("unit")
@@ -165,8 +176,8 @@ def matches(files: DataFrame, weights: dict[str, float], unseen: float, template
     u = u.filter((F.size("known") > 0) & (together * together >= bound * (F.col("n") - F.size("known") - 2) * unseen**2))
     count_of = lambda words: lambda w: F.struct(w.alias("term"), F.size(F.filter(F.col(words), lambda x: x == w)).alias("tf"))
     u = held(u, other=F.filter(F.col("words"), lambda w: (w != "") & ~w.isin(*weights))).drop("words")
-    other_sq = F.aggregate(F.transform(F.array_distinct("other"), count_of("other")), F.lit(0.0), lambda a, x: a + F.pow(x["tf"] * unseen, 2))
-    u = held(u, other_sq=other_sq, tfs=F.transform(F.array_distinct("known"), count_of("known")))
+    # the words outside the templates have no bound, so counting them one by one would take the square of a unit's size
+    u = held(u, other_sq=squared_counts(F.col("other")) * unseen**2, tfs=F.transform(F.array_distinct("known"), count_of("known")))
     idf = F.create_map(*(x for w, v in weights.items() for x in (F.lit(w), F.lit(v))))
     u = held(u, known_sq=F.aggregate("tfs", F.lit(0.0), lambda a, x: a + F.pow(x["tf"] * idf[x["term"]], 2))).filter(F.col("known_sq") >= bound * F.col("other_sq") * (1 - 1e-9))
     u = u.withColumn("uid", F.monotonically_increasing_id())  # before the terms are rows

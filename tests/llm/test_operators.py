@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -189,6 +190,18 @@ def test_components(spark):
     assert dict(components(spark.createDataFrame(edges, "a long, b long")).collect()) == up
 
 
+def test_license_scan_counts_words_in_one_pass(spark):
+    """A line of very many different words and enough licence words to be compared: time must not grow with the square of its words."""
+    lists = [["b", "a", "b"], [], ["x"], ["w"] * 9 + ["v", "w"], [str(i % 37) for i in range(1000)]]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<string>").select("i", licenses.squared_counts(F.col("x")).alias("n")).collect()
+    assert {r.i: r.n for r in got} == {i: sum(k * k for k in collections.Counter(x).values()) for i, x in enumerate(lists)}
+    texts = [" ".join([f"w{i}" for i in range(60_000)] + ["license"] * 500), "SPDX-License-Identifier: MIT"]
+    began = time.monotonic()
+    files = spark.createDataFrame([(str(i), f"{i}/x", t) for i, t in enumerate(texts)], "fid string, path string, text string")
+    assert {r.fid: r.own_license for r in licenses.scan(files).collect()} == {"0": None, "1": "MIT"}
+    assert time.monotonic() - began < 40
+
+
 def test_license_scan(spark, sf, docs):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     files = licenses.document_files(df)
