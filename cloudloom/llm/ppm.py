@@ -34,6 +34,8 @@ from .common import discard, in_chunks, small, staged, table, word_hashes
 ORDER = 5
 #: Text bytes of a block, and of the pieces in which counts are taken.
 BLOCK_BYTES, PIECE_BYTES = 12 << 20, 1 << 19
+#: Keys that are merged at once.
+MERGE_KEYS = 1 << 18
 #: Parts by which the packed words or contexts of all blocks meet: at least so many, one for so many blocks, and at most so many.
 MIN_BUCKETS, BUCKET_BLOCKS, MAX_BUCKETS = 64, 4, 4096
 #: What is packed.
@@ -117,6 +119,17 @@ def gram_counts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def merged_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of all parts, sorted, and the sums of their counts. Large parts, whose keys must be sorted, are merged range by range, so that little is held besides parts and result."""
+    total, longest = sum(len(p[0]) for p in parts), max(parts, key=lambda p: len(p[0]))[0]
+    if total > MERGE_KEYS:
+        cuts = longest[:: max(1, len(longest) * MERGE_KEYS // total)][1:]
+        bounds = [[0, *np.searchsorted(keys, cuts).tolist(), len(keys)] for keys, _ in parts]
+        some = [_merged([(keys[at[i] : at[i + 1]], n[at[i] : at[i + 1]]) for (keys, n), at in zip(parts, bounds, strict=True)]) for i in range(len(cuts) + 1)]
+        return np.concatenate([x[0] for x in some]), np.concatenate([x[1] for x in some])
+    return _merged(parts)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
@@ -202,15 +215,16 @@ def learnt(rows: DataFrame, order: int, buckets: int) -> DataFrame:
 
     def parts(kind: int, block: int, counted: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         key, n = merged_counts(counted)
-        of = bucket_of(key if kind == WORDS else context_hashes(key), buckets)
+        counted.clear()
+        of = bucket_of(key if kind == WORDS else context_hashes(key), buckets).astype(np.int16)
         sort = np.argsort(of, kind="stable")
-        key, n, of = key[sort], n[sort], of[sort]
+        of = of[sort]
         cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
         spans = [(x, y) for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
         k = len(spans)
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(k, kind, dtype=np.int8)), pa.array(np.full(k, block, dtype=np.int32)), pa.array([int(of[x]) for x, _ in spans], pa.int32()),
-             pa.array([y - x for x, y in spans], pa.int64()), pa.array([pack(key[x:y], n[x:y]) for x, y in spans], pa.binary())],
+             pa.array([y - x for x, y in spans], pa.int64()), pa.array([pack(key[sort[x:y]], n[sort[x:y]]) for x, y in spans], pa.binary())],
             names=["kind", "block", "bucket", "n", "packed"],
         )
 

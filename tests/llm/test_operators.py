@@ -6,6 +6,7 @@ import math
 import re
 import textwrap
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -548,3 +549,18 @@ def test_pipeline_keeps_clean_documents(spark):
         counts = quality.base_counts(r.text)
         junk = sum(r.text.count(c) for c in "|#%$&*!") > 0.02 * len(r.text)
         assert counts[0] < 50 or 2 * counts[4] > counts[0] or junk
+
+
+def test_merging_counts_holds_little_besides_parts_and_result():
+    rng = np.random.default_rng(2)
+    all_keys = np.unique(rng.integers(0, 2**63, 1_000_000, dtype=np.uint64))
+    parts = [(all_keys[k::3] if k else all_keys, np.full(len(all_keys[k::3] if k else all_keys), k + 1)) for k in range(3)]
+    tracemalloc.start()
+    keys, n = ppm.merged_counts(parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.ones(len(all_keys), dtype=np.int64)
+    want[1::3] += 2
+    want[2::3] += 3
+    assert (keys == all_keys).all() and (n == want).all()
+    assert peak < 50 << 20
