@@ -35,7 +35,9 @@ ANCHOR = 50
 #: Distinct stretches of one anchor that a task sorts; beyond, suffixes are grouped over the cluster.
 HOT_STRETCHES = 20_000
 #: Suffixes sorted at once.
-SORT_ROWS = 120_000
+SORT_ROWS = 60_000
+#: Text bytes whose anchors are found at once: some 150 bytes of arrays each.
+PIECE_BYTES = 1 << 20
 #: Anchors are ordered by the other bits of their hashes; these hold the place in a chunk, which is below 2**31.
 ORDER_BITS = 32
 
@@ -81,7 +83,7 @@ def long_enough(batch: pa.RecordBatch, at: int, length: int) -> Iterator[tuple[l
     raw = batch.column(at)
     sizes = pc.binary_length(raw).to_pylist()
     rows = [i for i, x in enumerate(sizes) if x >= length]
-    for lo, hi in in_chunks([sizes[i] for i in rows]):
+    for lo, hi in in_chunks([sizes[i] for i in rows], PIECE_BYTES):
         yield rows[lo:hi], [raw[i].as_py() for i in rows[lo:hi]]
 
 

@@ -10,6 +10,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -564,3 +565,17 @@ def test_merging_counts_holds_little_besides_parts_and_result():
     want[2::3] += 3
     assert (keys == all_keys).all() and (n == want).all()
     assert peak < 50 << 20
+
+
+def test_anchors_are_found_piece_by_piece():
+    """Memory follows the piece, not the batch of rows."""
+    texts = [np.random.default_rng(k).integers(0, 256, 300_000, dtype=np.uint8).tobytes() for k in range(14)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["raw"])
+    seen = []
+    tracemalloc.start()
+    for ids, part in suffix_dedup.long_enough(batch, 0, 200):
+        suffix_dedup.stretches(part, 200, 50)
+        seen += ids
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == list(range(14)) and peak < 150 << 20
